@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import os
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once for each application, as a zip in the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent.parent
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"{root.name}-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` in ``folder``; columns are pruned by what the query selects."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
