@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.sources.tables import table
+from sheaf.sources.tables import spread, table
 
 PATHS = (
     ("key_dates",), ("amounts",), ("seals",), ("fields",), ("obligations",), ("person_identities",), ("sub_agreements",), ("field_verdicts",),
@@ -228,7 +228,7 @@ def flat_table(rows: DataFrame, key: str, array_name: str) -> DataFrame:
 
 
 def envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "archive_documents").select(F.col("id").alias("doc_id"), "details_json")
+    return spread(table(spark, folder, "archive_documents").select(F.col("id").alias("doc_id"), "details_json"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

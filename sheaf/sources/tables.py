@@ -51,3 +51,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, factor: int = 3) -> DataFrame:
+    """``df`` over enough tasks for costly work on each row: a table of few files or row groups is dealt out again.
+
+    A large input has partitions enough and is left as it is, without a shuffle."""
+    wanted = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
