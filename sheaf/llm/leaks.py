@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.sources.tables import materialise, table
+from sheaf.sources.tables import materialise, spread, table
 
 # Spaced seeds: 1 looks at a token, 0 ignores it.  Weight 14 in spans of 20 to 21.
 SEEDS = ("11011101011101110111", "111010111011011010111", "110111011010110111011")
@@ -233,7 +233,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, max_b
                     yield pd.DataFrame({"doc_id": [ids[lo + i] for i, _ in found], "item_id": [built["index"].ids[j] for _, j in found]}, dtype="int64")
                     lo = hi
 
-        return documents.where("text is not null and text <> ''").select("doc_id", "text").mapInPandas(run, "doc_id bigint, item_id bigint")
+        return spread(documents.where("text is not null and text <> ''").select("doc_id", "text"), 1).mapInPandas(run, "doc_id bigint, item_id bigint")
     return _joined(documents, items, share)
 
 

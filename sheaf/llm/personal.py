@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.vectorised import vectorised
 from sheaf.llm.names import COMPOUND, ENGLISH_LINE_OF, NICKNAMES
-from sheaf.sources.tables import materialise, table
+from sheaf.sources.tables import materialise, spread, table
 
 # Frequent surnames, characters given names are made of, words of place names and given names.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾萧田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
@@ -246,7 +246,7 @@ def find_personal(rows: DataFrame, text: str = "text", sample_spans: int = 20_00
     """``rows`` with ``spans``: the personal items of each text.  Only rows with a proposed span are kept.
 
     ``sample_spans`` bounds the spans the classifier is trained on, taken in the order of a hash of all of them."""
-    held = materialise(rows.withColumn("proposed", proposed(text)).where("size(proposed) > 0"), "spans")
+    held = materialise(spread(rows).withColumn("proposed", proposed(text)).where("size(proposed) > 0"), "spans")
     each = held.select(F.explode("proposed").alias("s")).select("s.kind", "s.votes", "s.shape", "s.item")
     counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # bounded: 3 votes, 6 labelers, 5 kinds
     if not counts:
