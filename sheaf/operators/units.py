@@ -40,7 +40,7 @@ AREAS = {
 COUNTS = {"个": 1, "只": 1, "位": 1, "十个": 10, "百个": 100, "千个": 1000}
 # How many months a period has.
 PERIODS = {
-    "月": 1, "month": 1, "mo": 1, "个月": 1, "年": 12, "year": 12, "yr": 12, "季": 3, "季度": 3, "quarter": 3, "半年": 6, "半月": Fraction(1, 2), "双月": 2, "日": Fraction(12, 365), "天": Fraction(12, 365), "day": Fraction(12, 365), "周": Fraction(84, 365), "week": Fraction(84, 365), "旬": Fraction(1, 3),
+    "月": 1, "month": 1, "mo": 1, "年": 12, "year": 12, "yr": 12, "季": 3, "季度": 3, "quarter": 3, "半年": 6, "半月": Fraction(1, 2), "双月": 2, "日": Fraction(12, 365), "天": Fraction(12, 365), "day": Fraction(12, 365), "周": Fraction(84, 365), "week": Fraction(84, 365), "旬": Fraction(1, 3),
 }
 RATES = {"%": 1, "‰": Fraction(1, 10), "bp": Fraction(1, 100), "bps": Fraction(1, 100), "万分之": Fraction(1, 100), "千分之": Fraction(1, 10), "百分之": 1, "分利": 1, "厘利": Fraction(1, 10)}
 FILLERS = "每期约定共整含税不约合计另计为即按"
