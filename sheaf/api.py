@@ -78,7 +78,7 @@ def settings(spark: SparkSession, given: dict[str, str] | None = None) -> DataFr
     """Each setting with its value and where that is from: given, session or default; blank counts as unset."""
     rows = []
     for name, (conf, default) in SETTINGS.items():
-        own, session = (given or {}).get(name, "").strip(), (spark.conf.get(conf, "") or "").strip()
+        own, session = (given or {}).get(name, "").strip(), (spark.conf.get(conf, None) or "").strip()
         rows.append((name, own or session or default, "given" if own else "session" if session else "default"))
     return spark.createDataFrame(rows, "name string, value string, source string")
 
