@@ -29,20 +29,26 @@ LATIN = {v: k for k, v in reversed(CYRILLIC.items())}
 KEPT_WIDE = "（），：；！？"
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 INVISIBLE = "[\xad͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]"
-COMPATIBLE = "[⺀-⿟豈-﫿\U0002f800-\U0002fa1fﬀ-ﬆ\U0001d400-\U0001d7ff]"
+COMPATIBLE = "[⺀-⿟豈-﫿\U0002f800-\U0002fa1fﬀ-ﬆ\U0001d400-\U0001d7ffKÅΩ]"
 #: Any text with none of these is in its form already; the test runs in the JVM.
 SUSPECT = "[̀-ԯ" + SPACES + "！-＇＊＋－-９＜-＞＠-～]|" + INVISIBLE + "|" + COMPATIBLE
 WORD = re.compile("[A-Za-zÀ-ɏ̀-ԯ0-9]+")
 _SINGLE = {ord(c): " " for c in SPACES} | {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0xFF01 + i) not in KEPT_WIDE}
 _INVISIBLE = re.compile(INVISIBLE)
+_MARKED = re.compile("[^\u0300-\u036f][\u0300-\u036f]+")
 _COMPATIBLE = re.compile(COMPATIBLE)
 _FOREIGN = re.compile("[Ͱ-ԯ]")
 
 
+def composed(text: str) -> str:
+    """Detached accents put onto their letters; other scripts' own sequences stay."""
+    return _MARKED.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
+
+
 def one_form(text: str) -> str:
     """The text with every character in its ordinary form."""
     text = _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), _INVISIBLE.sub("", text).translate(_SINGLE))
-    text = unicodedata.normalize("NFC", text)
+    text = composed(text)
     if not _FOREIGN.search(text):
         return text
     words = WORD.findall(text)
@@ -64,7 +70,7 @@ def one_form(text: str) -> str:
             return word
         return "".join(OTHER.get(c, c) for c in word)
 
-    return unicodedata.normalize("NFC", WORD.sub(fix, text))
+    return composed(WORD.sub(fix, text))
 
 
 def _script(word: str) -> str:

@@ -107,6 +107,21 @@ def pack(ruler: Ruler, a: int, b: int, limit: int, level: int = 0) -> list[tuple
     return merged
 
 
+def enough_first(ruler: Ruler, parts: list[tuple[int, int]], limit: int, least: int) -> list[tuple[int, int]]:
+    """The same stretches, but the first one long enough to be shared from: it takes over from the second, cut at the
+    highest boundary that leaves both within the limit, the most even one of a level."""
+    if len(parts) < 2 or ruler.size(*parts[0]) >= least:
+        return parts
+    a, b = parts[0][0], parts[1][1]
+    for level in range(len(LEVELS) + 1):
+        places = {ruler.snap(p) for p in cuts(ruler.text, a, b, level)} if level < len(LEVELS) else set(ruler.ends[ruler.at[a] + 1 : ruler.at[b]])
+        fits = [(max(ruler.size(a, p), ruler.size(p, b)), p) for p in places if a < p < b and least <= ruler.size(a, p) <= limit and ruler.size(p, b) <= limit]
+        if fits:
+            p = min(fits)[1]
+            return [(a, p), (p, b), *parts[2:]]
+    return parts
+
+
 def overlap_start(ruler: Ruler, end: int, overlap: int) -> int:
     """Where the stretch before ``end`` of exactly ``overlap`` tokens begins, else the shortest one above."""
     k = ruler.at[end]
@@ -125,12 +140,12 @@ def overlap_start(ruler: Ruler, end: int, overlap: int) -> int:
 
 def split_text(text: str, limit: int = 3000, overlap: int = 200, path: str | None = None) -> list[tuple[int, int, int, int]]:
     """(start of what is shared, start of what is new, end, tokens) of each piece of a text over the limit; else none."""
-    ruler = Ruler(text, path)
+    ruler = Ruler(text, path, max(1, min(400, limit // 8)))
     if ruler.total <= limit:
         return []
     room = limit - overlap
     while True:
-        parts = pack(ruler, 0, len(text), room)
+        parts = enough_first(ruler, pack(ruler, 0, len(text), room), room, min(overlap, room // 2))
         out = []
         for n, (a, b) in enumerate(parts):
             shared = overlap_start(ruler, a, overlap) if n else a
