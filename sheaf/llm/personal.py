@@ -43,10 +43,10 @@ CN_NUM = f"(?:{_d(1)}(?:{N}\\d)*|[一二三四五六七八九十百千零〇](?:
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][\w.+\-]*(?: ?[(\[（] ?at ?[)\]）] ?| ?[@＠#] ?)[A-Za-z][A-Za-z0-9\-]*(?: ?[\[(（] ?dot ?[\])）] ?[A-Za-z]{2,}|\.[A-Za-z]{2,})+", re.ASCII),
     "id_number": re.compile(
-        rf"(?<![\dA-Za-z])(?<!\d\n)(?:{_d(6)}[- \n]?(?:1{N}9|2{N}0)(?:{N}\d){{2}}(?:{N}\d){{4}}[- \n]?{_d(3)}{N}[\dXx]|{_d(3)}-{N}{_d(2)}-{N}{_d(4)}|[A-Z]{{2}}[ \n]\d\d[ \n]\d\d[ \n]\d\d[ \n][A-D]|[A-Z]{{1,2}}{N}{_d(7)}(?:{N}\d)?)(?!{N}[\dA-Za-z])"
+        rf"(?=[\dA-Z])(?<![\dA-Za-z])(?<!\d\n)(?:{_d(6)}[- \n]?(?:1{N}9|2{N}0)(?:{N}\d){{2}}(?:{N}\d){{4}}[- \n]?{_d(3)}{N}[\dXx]|{_d(3)}-{N}{_d(2)}-{N}{_d(4)}|[A-Z]{{2}}[ \n]\d\d[ \n]\d\d[ \n]\d\d[ \n][A-D]|[A-Z]{{1,2}}{N}{_d(7)}(?:{N}\d)?)(?!{N}[\dA-Za-z])"
     ),
     "phone": re.compile(
-        rf"(?<![\dA-Za-z.*])(?<!\d\n)(?<!\d-)(?:(?:\+{N}8{N}6{GAP})?1{N}[3-9]{N}\d{GAP}{_d(4)}{GAP}{_d(4)}|(?:\+{N}8{N}6{GAP})?(?:[（(]{N}0{_d(1)}(?:{N}\d){{1,2}}{N}[)）]|0{N}\d(?:{N}\d){{1,2}}){GAP}{_d(4)}{GAP}{_d(3)}(?:{N}\d)?(?:[ \n]?转[ \n]?{_d(1)}(?:{N}\d)*)?"
+        rf"(?=[\d+(（])(?<![\dA-Za-z.*])(?<!\d\n)(?<!\d-)(?:(?:\+{N}8{N}6{GAP})?1{N}[3-9]{N}\d{GAP}{_d(4)}{GAP}{_d(4)}|(?:\+{N}8{N}6{GAP})?(?:[（(]{N}0{_d(1)}(?:{N}\d){{1,2}}{N}[)）]|0{N}\d(?:{N}\d){{1,2}}){GAP}{_d(4)}{GAP}{_d(3)}(?:{N}\d)?(?:[ \n]?转[ \n]?{_d(1)}(?:{N}\d)*)?"
         rf"|\+{N}1{GAP}\(?{_d(3)}\)?{GAP}{_d(3)}{GAP}{_d(4)}|\({N}{_d(3)}{N}\){GAP}{_d(3)}{GAP}{_d(4)}|{_d(3)}\.{N}{_d(3)}\.{N}{_d(4)}|\+{N}4{N}4{GAP}{_d(4)}{GAP}{_d(6)})(?:[ \n]?(?:ext\.?|x)[ \n]?\d{{1,5}})?(?!{N}[\d*])"
     ),
     "address": re.compile(
@@ -54,9 +54,12 @@ PATTERNS = {
         rf"|(?:(?:Flat|Unit|Apt|Apartment){SP}\d+[A-Z]?,{SP})?\b\d{{1,5}}[A-Z]?{SP}(?:[A-Z][a-z]+(?:-\n[a-z]+)?{SP}){{1,2}}{STREET_EN}\b\.?(?:,{SP}(?:Port{SP}|Great{SP}|Little{SP}|St{SP})?[A-Z][a-z]+(?:-\n[a-z]+)?)?"
     ),
     "name": re.compile(
-        rf"{CN_SURNAME}{N}[一-鿿](?:{N}[一-鿿])?|(?<![A-Za-z])[A-Z][a-z]{{2,11}}{SP}(?:[A-Z]\.?{SP})?[A-Z][a-z]+(?:[-­]\n[a-z]+)?(?![A-Za-z])"
+        rf"{CN_SURNAME}{N}[{GIVEN}](?:{N}[{GIVEN}])?|(?<![A-Za-z])[A-Z][a-z]{{2,11}}{SP}(?:[A-Z]\.?{SP})?[A-Z][a-z]+(?:[-­]\n[a-z]+)?(?![A-Za-z])"
     ),
 }
+#: Where an address may be: a street word before its number, or an English house number.
+STREET_HINT = re.compile(rf"(?:[路街巷同道]){N}[\d一二三四五六七八九十百千]|\d[A-Z]?{SP}[A-Z][a-z]")
+PLACE = re.compile("|".join(PLACES))
 KINDS = ("email", "id_number", "phone", "address", "name")  # the earlier wins where spans overlap
 CUES = {  # contexts before a span that speak for it
     "email": re.compile(r"(?:邮箱|邮件|发到|抄送|mail|cc|to|Reply to|/|;)\s*$"),
@@ -107,10 +110,8 @@ def votes_of(kind: str, text: str, a: int, b: int) -> list[int]:
             strict = 1 if item[sur:] else -1
             around = re.sub(r"\s", "", text[max(0, a - 3) : b + 4])
             at = len(re.sub(r"\s", "", text[max(0, a - 3) : a]))
-            for w in PLACES:
-                p = around.find(w)
-                if p >= 0 and p < at + len(item) and p + 2 > at:
-                    place = -1
+            if any(p.start() < at + len(item) and p.end() > at for p in PLACE.finditer(around)):
+                place = -1
             if re.match(r"\s*某|\s*\*", text[a + 1 : a + 3]) or "某" in item:
                 place = -1
             if re.match(rf"^{N}[{GIVEN}]", text[b : b + 2]) and len(item) - sur < 2:
@@ -128,11 +129,27 @@ def votes_of(kind: str, text: str, a: int, b: int) -> list[int]:
     return [strict, gazetteer, left, right, against, place]
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Address spans, looked for around their hints only."""
+    out, at = [], 0
+    for h in STREET_HINT.finditer(text):
+        if h.start() < at:
+            continue
+        m = PATTERNS["address"].search(text, max(at, h.start() - 20), h.end() + 120)
+        if m and m.start() <= h.start() < m.end():
+            out.append(m.span())
+            at = m.end()
+    return out
+
+
 def spans_of(text: str) -> list[tuple[str, int, int, list[int]]]:
     """Proposed spans with votes; of name spans at one place the one with the better votes is kept."""
     out = []
     for kind in KINDS:
         pattern, at = PATTERNS[kind], 0
+        if kind == "address":
+            out += [(kind, a, b, votes_of(kind, text, a, b)) for a, b in addresses(text)]
+            continue
         while m := pattern.search(text, at):
             a, b = m.span()
             at = b
