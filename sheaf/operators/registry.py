@@ -13,7 +13,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import normalise as N
@@ -30,8 +30,9 @@ def cleaned(identities: DataFrame) -> DataFrame:
 
 def first_seen(identities: DataFrame) -> DataFrame:
     """Every value with the first of its (canonical name, label) and whether it differs: the case without merging."""
-    w = Window.partitionBy("cname", "label").orderBy("seq", "pos", "ipos")
-    rows = cleaned(identities).withColumn("base", F.first("value").over(w))
+    rows = cleaned(identities)
+    base = rows.groupBy("cname", "label").agg(F.min_by("value", F.struct("seq", "pos", "ipos")).alias("base"))
+    rows = rows.join(base, ["cname", "label"])
     return rows.withColumn("conflict", N.canon_value("base") != F.col("cvalue"))
 
 

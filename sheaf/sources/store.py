@@ -16,9 +16,9 @@ CHILDREN = ("obligations", "document_seals", "document_subjects", "risk_clauses"
 
 
 def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key by an order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """The first row of each key by an order: an aggregate, so a key that holds very many rows is combined before the shuffle."""
+    best = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return best.select("_row.*")
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, key: str = "sha256") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 import zipfile
@@ -19,13 +20,16 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     root = Path(__file__).resolve().parent.parent
-    folder = Path(shared_dir(spark).removeprefix("file:"))
-    folder.mkdir(parents=True, exist_ok=True)
-    path = folder / f"{root.name}-{uuid.uuid4().hex}.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
+    jvm, where = spark.sparkContext._jvm, f"{shared_dir(spark).rstrip('/')}/{root.name}-{uuid.uuid4().hex}.zip"
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(where)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
