@@ -78,3 +78,19 @@ def head_parties(signers: DataFrame, identities: DataFrame, key: str) -> DataFra
     side = identities.withColumn("side", N.role_group("role")).where("side <> ''").groupBy(key, "side").agg(F.min(F.struct("pos", "name")).alias("h"))
     both = signers.withColumn("side", N.role_group("role")).join(side, [key, "side"], "left")
     return both.select(key, "role", "side", F.coalesce("h.name", F.nullif(N.ustrip("owner"), F.lit(""))).alias("party"))
+
+
+def attach_seal_numbers(parties: DataFrame, identities: DataFrame, key: str) -> DataFrame:
+    """Seal numbers of sealed parties (key, pos, role, has_seal, seal_no, seal_text, owner) as identifiers of the head party
+    of the same side, else of the seal's owner: (key, party, label, value), each value of a party once, the first place kept."""
+    sealed = parties.where(F.coalesce("has_seal", F.lit(False))).withColumn("number", N.seal_number("seal_no", "seal_text")).where("number <> ''")
+    who = head_parties(sealed.select(key, "role", "owner").distinct(), identities, key)
+    both = sealed.join(who.where("party is not null").groupBy(key, "role").agg(F.min("party").alias("party")), [key, "role"])
+    first = both.groupBy(key, "party", F.col("number").alias("value")).agg(F.min("pos").alias("pos"))
+    return first.select(key, "party", F.lit("印章").alias("label"), "value", "pos")
+
+
+def distinct_pages(candidates: DataFrame, *keys: str) -> DataFrame:
+    """Pages the candidates of a field stand on, each once, in order of first sight (columns pos, page)."""
+    first = candidates.where("page is not null").groupBy(*keys, "page").agg(F.min("pos").alias("p"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "page"))), lambda x: x["page"]).alias("pages"))

@@ -78,15 +78,20 @@ def guess_title(c: Column | str) -> Column:
 def find_pages(fragments: DataFrame, blocks: DataFrame, key: str, least: int = 8, window: int = 12) -> DataFrame:
     """The page on which each fragment (key, frag_id, fragment) stands in its document's blocks (key, block_pos, page, text).
 
-    Windows of 12 characters are tried in order, and for each the blocks in order.  Blocks are cut into their 8-character
-    shingles' hashes only where a fragment asks for them: the join is on (key, first 8 characters), then containment."""
-    frags = fragments.select(key, "frag_id", ws_free("fragment").alias("f")).where(F.length("f") >= least)
-    windows = frags.select(key, "frag_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("f") - least + 1)), lambda i: F.substr("f", i, F.lit(window)))).alias("win_pos", "sub"))
-    windows = windows.withColumn("seed", F.substring("sub", 1, least))
-    text = blocks.select(key, "block_pos", "page", ws_free("text").alias("t")).where(F.length("t") >= least)
-    seeds = text.select(key, "block_pos", "page", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - least + 1), lambda i: F.substr("t", i, F.lit(least))))).alias("seed"))
-    hits = windows.join(seeds, [key, "seed"]).where(F.contains("t", "sub"))
-    return hits.groupBy(key, "frag_id").agg(F.min(F.struct("win_pos", "block_pos", "page")).alias("m")).select(key, "frag_id", F.col("m.page").alias("page"))
+    Windows of 12 characters are tried in order, and for each the blocks in order.  Blocks of documents without a
+    fragment are left out first; a document's blocks meet its fragments as one array, searched inside the JVM."""
+    frags = fragments.select(key, "frag_id", ws_free("fragment").alias("_f")).where(F.length("_f") >= least)
+    asked = blocks.join(frags.select(key).distinct(), key, "left_semi")
+    text = asked.select(key, "block_pos", "page", ws_free("text").alias("_t")).where(F.length("_t") >= least)
+    held = text.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_pos", "page", "_t"))).alias("_blocks"))
+    places = F.sequence(F.lit(1), F.length("_f") - least + 1)
+
+    def hits(i):
+        sub = F.substr("_f", i, F.lit(window))
+        return F.transform(F.filter("_blocks", lambda b: F.contains(b["_t"], sub)), lambda b: F.struct(i.alias("w"), b["block_pos"].alias("b"), b["page"].alias("page")))
+
+    found = frags.join(held, key).select(key, "frag_id", F.array_min(F.flatten(F.transform(places, hits))).alias("_m")).where("_m is not null")
+    return found.groupBy(key, "frag_id").agg(F.min("_m").alias("_m")).select(key, "frag_id", F.col("_m.page").alias("page"))
 
 
 def signature_pages(blocks: DataFrame, key: str, most: int = 4) -> DataFrame:

@@ -145,3 +145,23 @@ def names_in_text(identities: DataFrame, texts: DataFrame, key: str = "doc_id")
     """Identities whose name, without white space, stands in their document's text; all are kept where the text is empty."""
     both = identities.join(texts.select(key, N.ws_free("text").alias("_text")), key, "left")
     return both.where(F.coalesce(F.col("_text"), F.lit("")) == "").unionByName(both.where((F.col("_text") != "") & F.contains("_text", N.ws_free("name")))).drop("_text")
+
+
+def envelope_confidence(title: Column, summary: Column, *others: Column) -> Column:
+    """0 without title and summary, else half and a tenth for each filled member, at most 0.9."""
+    filled = lambda c: F.coalesce(N.ustrip(c.cast("string")), F.lit("")) != ""
+    points = sum((F.when(filled(c), 1).otherwise(0) for c in others), F.lit(0))
+    return F.when(~filled(title) & ~filled(summary), 0.0).otherwise(F.least(F.lit(0.9), F.round(0.5 + 0.1 * points, 1)))
+
+
+def share_filled(weight: float, *columns: Column) -> Column:
+    """Mean over columns of the weight where one is filled and 0 where not."""
+    filled = lambda c: F.when(F.coalesce(N.ustrip(c.cast("string")), F.lit("")) != "", weight).otherwise(0.0)
+    return F.round(sum((filled(c) for c in columns), F.lit(0.0)) / len(columns), 6)
+
+
+def usage_totals(df: DataFrame, v: str, *keys: str) -> DataFrame:
+    """Token usage summed over answers; a side no answer gives stays null."""
+    use = lambda n, m: F.coalesce(member(F.col(v), f"$.llm_usage.{n}", "bigint"), member(F.col(v), f"$.llm_usage.{m}", "bigint"))
+    rows = df.select(*keys, use("input_tokens", "prompt_tokens").alias("i"), use("output_tokens", "completion_tokens").alias("o"))
+    return rows.groupBy(*keys).agg(F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.count_if(F.col("i").isNotNull() | F.col("o").isNotNull()).alias("answers"))

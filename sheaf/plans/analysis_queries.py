@@ -210,3 +210,33 @@ def seal_issues(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "ordering", F.coalesce("seal_type", F.lit("")).alias("agreement"), N.ustrip(F.coalesce("owner", F.lit(""))).alias("role"), F.col("ordering").alias("page"), ((F.col("raw_text") != "") & (F.length("raw_text") > 6)).alias("has_seal"), F.lit(False).alias("has_signature")
     )
     return X.seal_issues(units.distinct(), "doc_id")
+
+
+@query(
+    "scalar_scores",
+    f"""with {ENV}, g as (select distinct id as doc_id, title, doc_type from archive_documents), b as (select g.doc_id, nullif(title, '') as gt, nullif({js('j', 'title')}, '') as pt, nullif(doc_type, '') as gd, nullif({js('j', 'doc_type')}, '') as pd from g join env using (doc_id)),
+    s as (select doc_id, 'title' as field, gt as g, pt as p from b union all select doc_id, 'doc_type', gd, pd from b), r as (select field, g is not null and g = coalesce(p, '') as ok, g, p from s)
+    select field, sum(ok::int)::bigint as tp, sum((not ok and p is not null)::int)::bigint as fp, sum((not ok and g is not null)::int)::bigint as fn from r group by field""",
+)
+def scalar_scores(spark: SparkSession, d: str) -> DataFrame:
+    gold = table(spark, d, "archive_documents").select(F.col("id").alias("doc_id"), "title", "doc_type").distinct()
+    both = gold.join(envelopes(spark, d), "doc_id")
+    fields = F.array(*(F.struct(F.lit(c).alias("field"), E.score_scalar(F.col(c), R.text_of(F.col("v"), f"$.{c}")).alias("s")) for c in ("title", "doc_type")))
+    rows = both.select(F.explode(fields).alias("x")).select("x.field", "x.s.*")
+    return rows.groupBy("field").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+
+
+@query("verdict_pages")
+def verdict_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages the candidates of each verdict stand on."""
+    x, y = F.col("x"), F.col("y")
+    rest = R.exploded(envelopes(spark, d), "v", "$.field_verdicts", "doc_id").select("doc_id", R.text_of(x, "$.key").alias("key"), F.posexplode(R.member(x, "$.candidates", "array<variant>")).alias("pos", "y"))
+    return X.distinct_pages(rest.select("doc_id", "key", "pos", R.member(y, "$.page", "int").alias("page")), "doc_id", "key")
+
+
+@query("gate_measures")
+def gate_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap bounds of the two statuses' date scores, one held against the other."""
+    m = bootstrap_ci(spark, d)
+    side = lambda s: m.where(F.col("status") == s).select(F.lit("key_dates").alias("measure"), "mean", "low")
+    return E.gate(side("ok"), side("partial"), 0.03, 0.98)

@@ -159,3 +159,40 @@ def loose_json(spark: SparkSession, d: str) -> DataFrame:
     body = N.loose_json("details_json")
     state = F.when(F.col("details_json").contains("{"), F.when((body != "{}") | (N.ustrip("details_json") == "{}"), "ok").otherwise("bad"))
     return table(spark, d, "archive_documents").select("id", "details_json").distinct().select("id", state.alias("state"))
+
+
+@query(
+    "usage_totals",
+    f"""with {ENV}, u as (select {js('j', 'doc_type')} as kind, try_cast(json_extract_string(j, '$.llm_usage.input_tokens') as bigint) as i, try_cast(json_extract_string(j, '$.llm_usage.output_tokens') as bigint) as o from env)
+    select kind, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, count(*) filter (i is not null or o is not null) as answers from u group by kind""",
+)
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return R.usage_totals(envelopes(spark, d).withColumn("kind", R.text_of(F.col("v"), "$.doc_type")), "v", "kind")
+
+
+_FILLED = "case when trim(coalesce({0}::varchar, ''), e' \\t\\n　') <> '' then {1} else 0 end"
+
+
+@query(
+    "confidences",
+    f"""with t as (select distinct id, title, summary, contract_name, party_a, party_b, amount_text, sign_date, expire_date, auto_renewal, primary_date from archive_documents)
+    select id, case when {_FILLED.format('title', 1)} = 0 and {_FILLED.format('summary', 1)} = 0 then 0.0 else least(0.9, round(0.5 + 0.1 * ({' + '.join(_FILLED.format(c, 1) for c in ('party_a', 'primary_date', 'amount_text', 'party_b'))}), 1)) end::double as envelope,
+    round(({' + '.join(_FILLED.format(c, 0.7) for c in ('contract_name', 'party_a', 'party_b', 'amount_text', 'sign_date', 'expire_date', 'auto_renewal', 'summary'))}) / 8, 6)::double as contract from t""",
+)
+def confidences(spark: SparkSession, d: str) -> DataFrame:
+    c = "id title summary contract_name party_a party_b amount_text sign_date expire_date auto_renewal primary_date".split()
+    t = table(spark, d, "archive_documents").select(*c).distinct()
+    x = F.col
+    eight = [x(n) for n in "contract_name party_a party_b amount_text sign_date expire_date auto_renewal summary".split()]
+    return t.select("id", R.envelope_confidence(x("title"), x("summary"), x("party_a"), x("primary_date"), x("amount_text"), x("party_b")).alias("envelope"), R.share_filled(0.7, *eight).alias("contract"))
+
+
+@query(
+    "envelope_text_fields",
+    f"""with {ENV} select doc_id, {js('j', 'title')} as title, coalesce(json_array_length(j, '$.parties'), 0)::int as n_parties, case when json_type(j, '$.parties') = 'ARRAY' then array_to_string(list_filter(list_transform(from_json(json_extract(j, '$.parties'), '["VARCHAR"]'), lambda x: trim(x, e' \\t\\n　')), lambda x: x <> ''), '|') else '' end as parties from env""",
+)
+def envelope_text_fields(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("v")
+    names = F.coalesce(R.member(v, "$.parties", "array<string>"), F.array().cast("array<string>"))
+    clean = F.filter(F.transform(names, N.ustrip), lambda x: F.coalesce(x, F.lit("")) != "")
+    return envelopes(spark, d).select("doc_id", R.text_of(v, "$.title").alias("title"), F.size(names).alias("n_parties"), F.array_join(clean, "|").alias("parties"))
