@@ -172,12 +172,20 @@ def parsed(names: pd.Series) -> pd.DataFrame:
 
 
 def one_edit_forms(kind: str, main: str) -> list[str]:
-    """Forms that any two mains one edit apart share: one left out; for Chinese stems also one place open."""
-    if kind == "c":
-        return [main, *dict.fromkeys(x for i in range(len(main)) for x in (f"{main[:i]}?{main[i + 1 :]}", main[:i] + main[i + 1 :]) if len(x) > 2)]
-    if kind in "en" and len(main) >= 6:
-        return [main, *dict.fromkeys(main[:i] + main[i + 1 :] for i in range(len(main)))]
-    return [main]
+    """Forms that mains one edit apart share.
+
+    A Chinese stem with one place open ('?') meets stems of another character there; a Latin one with two neighbours
+    in alphabetical order ('{}') meets those with the two swapped.  '~' forms, the main itself and the main with one
+    place left out, meet where one main is the other with a place more; two mains that are both longer than what they
+    share are two edits apart and must not meet there (``is_self`` tells)."""
+    out = [main, "~" + main]
+    if len(main) >= (3 if kind == "c" else 6) and kind in "cen":
+        out += ["~" + main[:i] + main[i + 1 :] for i in range(len(main))]
+        if kind == "c":
+            out += [f"{main[:i]}?{main[i + 1 :]}" for i in range(len(main))]
+        else:
+            out += [f"{main[:i]}{{{''.join(sorted(main[i : i + 2]))}}}{main[i + 2 :]}" for i in range(len(main) - 1)]
+    return list(dict.fromkeys(out))
 
 
 @vectorised("array<string>")
@@ -194,8 +202,13 @@ def link_names(names: DataFrame) -> DataFrame:
     full = known.where("detail <> ''").groupBy("kind", "main", "detail").agg(F.sum("n").alias("support"), F.mode(F.when(F.col("extra") != "", F.col("extra"))).alias("extra"))
     forms = full.select("*", F.explode(edit_forms("kind", "main")).alias("form"))
     rank = F.struct("support", "main")
-    best = forms.groupBy("kind", "detail", "form").agg(F.max(rank).alias("top"))
-    roots = forms.join(best, ["kind", "detail", "form"]).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.first("extra").alias("extra"))
+    is_self = F.col("form") == F.concat(F.lit("~"), "main")
+    best = forms.groupBy("kind", "detail", "form").agg(F.max(rank).alias("every"), F.max(F.when(is_self, rank)).alias("spelt"))
+    # Of a '~' form a longer main can only join the main it spells, and that one the best of the longer ones; one place
+    # more or less is common between names of their own, so the root must also have several times the support.
+    other = F.when(is_self, F.col("every")).otherwise(F.col("spelt"))
+    top = F.when(~F.col("form").startswith("~"), F.col("every")).when(other["support"] >= 3 * F.col("support"), other)
+    roots = forms.join(best, ["kind", "detail", "form"]).withColumn("top", top).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.first("extra").alias("extra"))
     roots = roots.select("kind", "main", "detail", F.col("top.main").alias("root"), "extra")
     # A root may itself lead to a better one: follow once more, so that chains of two spellings end in one root.
     again = roots.select("kind", F.col("main").alias("root"), "detail", F.col("root").alias("root2"))
@@ -208,11 +221,12 @@ def link_names(names: DataFrame) -> DataFrame:
     keys = ends.select("kind", "main", F.explode(F.array_distinct(F.array("extra", F.lit("")))).alias("extra"), named.alias("entity"))
     keys = keys.groupBy("kind", "main", "extra").agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))
     # A stem or surname that is nobody's as it stands is looked for by its one-edit forms.
-    near = keys.select("kind", "extra", "entity", "other", F.explode(edit_forms("kind", "main")).alias("form")).groupBy("kind", "extra", "form").agg(F.min("entity").alias("near"), F.max("other").alias("near_other"))
+    near = keys.select("kind", "extra", "main", "entity", "other", F.explode(edit_forms("kind", "main")).alias("form")).withColumn("spelt", is_self)
+    near = near.groupBy("kind", "extra", "form", "spelt").agg(F.min("entity").alias("near"), F.max("other").alias("near_other"))
     asked = part.join(keys, ["kind", "main", "extra"], "left").withColumn("own", F.concat_ws("|", "kind", "main", "extra"))
     found = asked.where("entity is not null").where("entity = other").select("name", "entity")
-    loose = asked.where("entity is null").select("name", "kind", "extra", "own", F.explode(edit_forms("kind", "main")).alias("form"))
-    loose = loose.join(near, ["kind", "extra", "form"], "left").groupBy("name", "own").agg(F.min("near").alias("near"), F.max("near_other").alias("near_other"))
+    loose = asked.where("entity is null").select("name", "kind", "main", "extra", "own", F.explode(edit_forms("kind", "main")).alias("form")).withColumn("whole", is_self)
+    loose = loose.join(near, ["kind", "extra", "form"], "left").withColumns({c: F.when(~F.col("form").startswith("~") | F.col("spelt") | F.col("whole"), F.col(c)) for c in ("near", "near_other")}).groupBy("name", "own").agg(F.min("near").alias("near"), F.max("near_other").alias("near_other"))
     loose = loose.where("near is null or near = near_other").select("name", F.coalesce("near", "own").alias("entity"))
     incomplete = found.unionByName(loose)
     return complete.unionByName(incomplete)

@@ -40,6 +40,13 @@ def test_links(spark):
     assert e["丁屏薇"] != e["丁屏荻"] and "  " not in e
 
 
+def test_two_edits_do_not_link(spark):
+    e = entities(spark, {"禾墟市屿萃拓棠融资租赁有限公司": 9, "岚皋市屿珩萃棠融资租赁有限公司": 5, "Sormurtanvel Trading Ltd": 4, "Tormurtanvel Trading Ltd": 3})
+    assert len(set(e.values())) == 4
+    e = entities(spark, {"Sormurtanvel Trading Ltd": 4, "Sormurtavnel Trading Ltd": 1, "Sormurtanel Trading": 1, "Sormurtannvel Trading": 1, "霁州市芷芷蓝鑫农业发展有限公司": 5, "芷止蓝鑫农业发展": 1})
+    assert len(set(e.values())) == 2
+
+
 def test_empty(spark):
     assert entities(spark, {"丁屏薇": 1}) == {"丁屏薇": "p|丁屏薇|-"}
     assert N.link_names(spark.createDataFrame([], "name string, n bigint").withColumn("n", F.col("n"))).count() == 0
