@@ -169,8 +169,8 @@ def resolve(documents: DataFrame, ident: str) -> DataFrame:
     if len(ident) >= 4:
         prefix = ident.lower()
         hits = documents.where(F.col("sha256").startswith(prefix))
-        one = hits.agg(F.count("*").alias("_n")).where("_n = 1")
-        by_sha = hits.join(F.broadcast(one), how="inner").drop("_n").withColumn("_rank", F.lit(1))  # one row
+        only = hits.agg(F.count("*").alias("_n"), F.first(F.struct(*documents.columns)).alias("_row")).where("_n = 1")
+        by_sha = only.select("_row.*").withColumn("_rank", F.lit(1))
         out = by_sha if out is None else out.unionByName(by_sha)
     return out.orderBy("_rank").limit(1).drop("_rank")
 
@@ -184,11 +184,15 @@ def stats(documents: DataFrame, as_of: str) -> DataFrame:
         F.count_if(F.col("ingested_at").startswith(as_of[:7])).alias("new"),
         F.count_if((F.col("expire_date") >= as_of) & (F.col("expire_date") <= end)).alias("expiring"),
     )
-    by = lambda key: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "k"))))
-    status = flat.groupBy("status").agg(F.sum("n").alias("k")).agg(by("status").alias("by_status"))
-    month = flat.where("month is not null").groupBy("month").agg(F.sum("n").alias("k")).agg(by("month").alias("by_sign_month"))
-    total = flat.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "total"), ("new", "new_this_month"), ("expiring", "expiring_within_30d"))))
-    return total.join(F.broadcast(status)).join(F.broadcast(month))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "total"), ("new", "new_this_month"), ("expiring", "expiring_within_30d"))]
+    whole = flat.agg(*sums, F.collect_list(F.struct("status", "month", "n")).alias("_g"))  # one entry for each status and month
+
+    def by(field: str) -> Column:
+        keys = F.array_sort(F.array_distinct(F.filter(F.transform("_g", lambda x: x[field]), lambda k: k.isNotNull())))
+        count = lambda k: F.aggregate(F.filter("_g", lambda x: x[field] == k), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, count(k))))
+
+    return whole.select("total", "new_this_month", "expiring_within_30d", by("status").alias("by_status"), by("month").alias("by_sign_month"))
 
 
 def subject_label(parties: Column, a: Column, b: Column) -> Column:
