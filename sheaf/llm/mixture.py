@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.tokens import count_tokens
@@ -105,8 +105,8 @@ def mix(documents: DataFrame, weights: DataFrame, block: int = 2000) -> tuple[Da
     plan = weights.where("target_share > 0").join(totals, "source", "left")
     usable = plan.where("tokens > 0")
     # The largest mix in which no source goes beyond its cap; shares of sources that are not there are left to the others.
-    most = usable.agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("size"), F.sum("target_share").alias("there"))
-    usable = usable.crossJoin(F.broadcast(most)).withColumn("uses", F.least(F.col("size") * F.col("target_share") / F.col("tokens"), F.col("max_repeats").cast("double")))
+    size = F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).over(Window.partitionBy(F.lit(1)))  # one row a source
+    usable = usable.withColumn("size", size).withColumn("uses", F.least(F.col("size") * F.col("target_share") / F.col("tokens"), F.col("max_repeats").cast("double")))
     usable = usable.withColumn("whole", F.floor(F.col("uses") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("uses") - F.col("whole")))
     usable = materialise(usable, "mix-plan")  # one row a source
     held = materialise(docs.join(F.broadcast(usable.select("source", "whole", "part", "docs")) if usable.count() <= 10_000 else usable.select("source", "whole", "part", "docs"), "source"), "mix-docs")
@@ -149,8 +149,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     docs = materialise(sized(spark, folder), "mix-sized")
     chosen, plan = mix(docs, table(spark, folder, "source_weights"))
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("uses"), F.max("copies").alias("most_copies"))
-    whole = used.agg(F.sum("used_tokens").alias("all_tokens"))
     have = docs.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     rows = have.join(plan.select("source", "target_share", "max_repeats"), F.col("s").eqNullSafe(F.col("source")), "full").select(F.coalesce("s", "source").alias("source"), "target_share", "max_repeats", "tokens", "docs")
-    rows = rows.join(used, "source", "left").crossJoin(F.broadcast(whole))
+    rows = rows.join(used, "source", "left").withColumn("all_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(1))))  # one row a source
     return rows.select("source", "target_share", (F.coalesce("used_tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"), "max_repeats", "most_copies", "docs", "tokens", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"))
