@@ -150,10 +150,12 @@ def seal_board(seals: DataFrame, documents: DataFrame, owner: str | None = None,
 
 
 def hydrate(documents: DataFrame, obligations: DataFrame, seals: DataFrame) -> DataFrame:
-    """Documents with their children as ordered arrays; each child is aggregated before the join, childless ones get []."""
+    """Documents with their children as ordered arrays; each child is aggregated before the join, childless ones get [].
+
+    Exact copies of a child count once: the arrays are gathered as sets, so no shuffle is spent on dropping them first."""
 
     def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordering", "id", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name)).withColumnRenamed("doc_id", "id")
+        return df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("ordering", "id", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name)).withColumnRenamed("doc_id", "id")
 
     o, s = gathered(obligations, "obligations", "actor", "action", "deadline"), gathered(seals, "seals", "owner", "seal_type")
     out = documents.join(o, "id", "left").join(s, "id", "left")

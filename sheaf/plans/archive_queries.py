@@ -21,21 +21,25 @@ def documents(spark: SparkSession, d: str, columns: str = DOC) -> DataFrame:
     return table(spark, d, "archive_documents").select(*columns.split(", ")).distinct()
 
 
-def obligations(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "obligations").select("id", "doc_id", "actor", "action", "deadline", "ordering").distinct()
+def child(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A child table with its copies: for semi and anti joins and sets, which they don't change."""
+    return table(spark, d, name).select(*columns)
 
 
-def seals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_seals").select("id", "doc_id", "owner", "seal_type", "raw_text", "ordering").distinct()
+OBL, SEALS, ISSUES = ("id", "doc_id", "actor", "action", "deadline", "ordering"), ("id", "doc_id", "owner", "seal_type", "raw_text", "ordering"), ("id", "doc_id", "category")
+
+
+def obligations(spark: SparkSession, d: str) -> DataFrame:
+    return child(spark, d, "obligations", *OBL).distinct()
 
 
-def issues(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "completeness_issues").select("id", "doc_id", "category").distinct()
+def seals(spark: SparkSession, d: str) -> DataFrame:
+    return child(spark, d, "document_seals", *SEALS).distinct()
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
-    both = documents(spark, d, "id, party_a, party_b").select(F.col("id").alias("doc_id"), F.explode(F.array("party_a", "party_b")).alias("subject"))
-    return both.select("doc_id", F.trim("subject").alias("subject")).where("subject <> ''").distinct()
+    both = table(spark, d, "archive_documents").select(F.col("id").alias("doc_id"), F.explode(F.array("party_a", "party_b")).alias("subject"))
+    return both.select("doc_id", F.trim("subject").alias("subject")).where("subject <> ''")
 
 
 HIT = "id, contract_name, party_a, amount_cents, sign_date, ingested_at"
@@ -43,7 +47,7 @@ HIT = "id, contract_name, party_a, amount_cents, sign_date, ingested_at"
 
 def _search(flt: A.SearchFilter):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = A.search(documents(spark, d), flt, obligations=obligations(spark, d), seals=seals(spark, d), subjects=subjects(spark, d), risks=issues(spark, d))
+        found = A.search(documents(spark, d), flt, obligations=child(spark, d, "obligations", *OBL), seals=child(spark, d, "document_seals", *SEALS), subjects=subjects(spark, d), risks=child(spark, d, "completeness_issues", *ISSUES))
         return found.select(*HIT.split(", "))
 
     return run
@@ -138,7 +142,9 @@ FLAT = "concat_ws('|', actor, action, coalesce(deadline, '-'))"
     select docs.id, docs.status, coalesce(o.x, '') as obligations, coalesce(o.n, 0) as n_obligations, coalesce(s.n, 0) as n_seals from docs left join o on o.doc_id = docs.id left join s on s.doc_id = docs.id""",
 )
 def hydrate_documents(spark: SparkSession, d: str) -> DataFrame:
-    full = A.hydrate(documents(spark, d), obligations(spark, d), seals(spark, d))
+    # The key is unique once copies are dropped, and dropped by the key the rows are already where the joins need them.
+    docs = table(spark, d, "archive_documents").select("id", "status").dropDuplicates(["id"])
+    full = A.hydrate(docs, child(spark, d, "obligations", *OBL), child(spark, d, "document_seals", *SEALS))
     text = F.array_join(F.transform("obligations", lambda x: F.concat_ws("|", x["actor"], x["action"], F.coalesce(x["deadline"], F.lit("-")))), ";")
     return full.select("id", "status", text.alias("obligations"), F.size("obligations").cast("bigint").alias("n_obligations"), F.size("seals").cast("bigint").alias("n_seals"))
 
@@ -213,10 +219,10 @@ def display_columns(spark: SparkSession, d: str) -> DataFrame:
 def search_flagship(spark: SparkSession, d: str) -> DataFrame:
     """Range, LIKE, same-row semi join, anti join, top-k, then the hits' children as arrays."""
     flt = A.SearchFilter(name="合同", amount_min=100_000, signed_after="2015-01-01", obligation_after="2024-01-01", obligation_actor="party_b")
-    obl, seal = obligations(spark, d), seals(spark, d)
+    obl, seal = child(spark, d, "obligations", *OBL), child(spark, d, "document_seals", *SEALS)
     hits = A.matching(documents(spark, d), flt, obligations=obl).join(seal.where(A.ascii_like("seal_type", "公章")).select(F.col("doc_id").alias("id")), "id", "left_anti")
     hits = hits.orderBy(F.col("sign_date").desc(), "id").limit(50).select("id", "contract_name", "amount_cents", "sign_date")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordering", "oid", "flat"))), lambda x: x["flat"]), ";")
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ordering", "oid", "flat"))), lambda x: x["flat"]), ";")
     flat = obl.select("doc_id", "ordering", F.col("id").alias("oid"), F.concat_ws("|", "actor", "action", F.coalesce("deadline", F.lit("-"))).alias("flat"))
     mine = flat.join(F.broadcast(hits.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(text.alias("obligations"))  # at most 50 keys
     return hits.join(mine, hits["id"] == mine["doc_id"], "left").select("id", "contract_name", "amount_cents", "sign_date", F.coalesce("obligations", F.lit("")).alias("obligations"))
