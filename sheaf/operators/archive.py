@@ -177,6 +177,13 @@ def resolve(documents: DataFrame, ident: str) -> DataFrame:
     return out.orderBy("_rank").limit(1).drop("_rank")
 
 
+def by_prefix(documents: DataFrame, prefix: str, least: int = 4) -> DataFrame:
+    """All documents whose hash starts with a prefix of at least ``least`` characters, newest first."""
+    if len(prefix) < least:
+        raise ValueError(f"a hash prefix needs at least {least} characters")
+    return documents.where(F.col("sha256").startswith(prefix.lower())).orderBy(F.col("ingested_at").desc_nulls_last(), "id")
+
+
 def stats(documents: DataFrame, as_of: str) -> DataFrame:
     """Totals in one pass: all, this month's, expiring within 30 days of ``as_of``, and counts by status and month as maps."""
     day = F.lit(as_of).cast("date")

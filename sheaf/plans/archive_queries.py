@@ -161,7 +161,8 @@ def resolve_by_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prefix_lookup", f"with {DOCS} select id, sha256 from docs where starts_with(sha256, 'ab') order by ingested_at desc nulls last, id limit 50")
 def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).where(F.col("sha256").startswith("ab")).orderBy(F.col("ingested_at").desc_nulls_last(), "id").limit(50).select("id", "sha256")
+    # The two characters are those of the SQL; its limit of 50 is not the reference's and not taken over.
+    return A.by_prefix(documents(spark, d), "ab", least=2).select("id", "sha256")
 
 
 @query("stats_status", f"with {DOCS} select status, count(*) as n from docs group by status")

@@ -64,6 +64,19 @@ def test_lookup_and_order(docs):
         A.list_documents(docs, order_by="title")
 
 
+def test_prefix_lookup_gives_every_match(spark, tmp_path):
+    from sheaf.plans.core import QUERIES
+
+    rows = [(i, f"ab{i:04d}" if i < 120 else f"b{i:04d}", f"2025-01-01T00:{i % 60:02d}:00Z") for i in range(130)]
+    df = spark.createDataFrame([(*r[:2], *[None] * 11, r[2], None, None, None) for r in rows], DOC)
+    df.union(df).write.parquet(str(tmp_path / "archive_documents.parquet"))
+    want = [r[0] for r in sorted(rows, key=lambda r: (-int(r[2][14:16]), r[0])) if r[1].startswith("ab")]
+    assert ids(QUERIES["prefix_lookup"](spark, str(tmp_path))) == want
+    assert ids(A.by_prefix(df, "AB000")) == [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]
+    with pytest.raises(ValueError):
+        A.by_prefix(df, "ab0")
+
+
 def test_stats(docs, spark):
     s = A.stats(docs, "2025-06-01").head()
     assert (s.total, s.expiring_within_30d, s.by_status, s.by_sign_month) == (3, 1, {"ok": 2, "failed": 1}, {"2024-08": 1, "2025-03": 1})
