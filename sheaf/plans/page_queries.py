@@ -209,7 +209,8 @@ def signature_pages(spark: SparkSession, d: str) -> DataFrame:
 def page_selection(spark: SparkSession, d: str) -> DataFrame:
     t = F.regexp_replace("text", r"(?U)\s+", "")
     pages = blocks(spark, d).select("doc_id", "page", t.contains("附件").alias("has_tables"), F.when(F.length(t) < 60, "ocr").otherwise("text").alias("mode"))
-    return P.select_pages(pages, "doc_id", 5)
+    # At most 20 pages, the reference's cap; the SQL's 5 is not the reference's and not taken over.
+    return P.select_pages(pages, "doc_id")
 
 
 @query(

@@ -159,3 +159,14 @@ def test_find_pages_equals_scan(spark):
             want[i] = hit
     got = P.find_pages(spark.createDataFrame(frags, "k int, frag_id int, fragment string"), spark.createDataFrame(blocks, "k int, block_pos int, page int, text string"), "k")
     assert {x.frag_id: x.page for x in got.collect()} == want
+
+
+def test_page_selection_takes_twenty_pages(spark, tmp_path):
+    from sheaf.plans.core import QUERIES
+
+    text = "\n\n".join("x" * 80 if i == 7 else f"附件{i}" if i % 2 else f"短{i}" for i in range(30))
+    spark.createDataFrame([(1, text), (2, "附件\n\n" * 6 + "附件"), (3, None)], "doc_id bigint, markdown string").write.parquet(str(tmp_path / "pipeline_outputs.parquet"))
+    got = sorted((r.doc_id, r.n, r.page, r["rank"]) for r in QUERIES["page_selection"](spark, str(tmp_path)).collect())
+    tables, scans = [i for i in range(1, 30, 2) if i != 7], [i for i in range(2, 30, 2)]
+    want = [(0, 0)] + [(p, 1) for p in tables] + [(p, 2) for p in scans]
+    assert got == [(1, n, *x) for n, x in enumerate(want[:20], 1)] + [(2, n, n - 1, min(n - 1, 1)) for n in range(1, 8)]
