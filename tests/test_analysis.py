@@ -112,6 +112,35 @@ def test_bootstrap():
     assert mean == 0.75 and low <= mean <= high
 
 
+def test_bootstrap_by_draws_all_resamples_in_parts(spark):
+    r = random.Random(7)
+    groups = {"one": [0.25], "two": [0.5, 1.0], "some": [r.random() for _ in range(33)], "many": [r.random() for _ in range(700)]}
+    for v in groups.values():
+        means = E.resampled(v, 0, 50) if len(v) > 1 else []
+        assert means == E.resampled(v, 0, 17) + E.resampled(v, 17, 50) if means else len(v) == 1
+    rows = [(k, i, x) for k, v in groups.items() for i, x in enumerate(v)]
+    r.shuffle(rows)
+    got = E.bootstrap_by(spark.createDataFrame(rows, "k string, o int, v double"), "k", "o", "v").collect()
+    assert {x.k: (x["mean"], x.low, x.high) for x in got} == {k: E.bootstrap(v) for k, v in groups.items()}
+
+
+def test_bootstrap_ci_takes_two_thousand_resamples(spark):
+    from sheaf.plans import analysis_queries as Q
+    from sheaf.sources.tables import table
+
+    d = "/root/testdata/sf0.001"
+    types = dict(table(spark, d, "archive_documents").select("id", "status").distinct().collect())
+    scored = Q.date_scores(spark, d).where("tp + fp + fn > 0").select("doc_id", E.fbeta("tp", "fp", "fn").alias("f")).orderBy("doc_id").collect()
+    values = {}
+    for x in scored:
+        if x.doc_id in types:
+            values.setdefault(types[x.doc_id], []).append(x.f)
+    got = {x.status: (x["mean"], x.low, x.high) for x in Q.bootstrap_ci(spark, d).collect()}
+    assert got == {s: E.bootstrap(v, 2000) for s, v in values.items()}
+    if {"ok", "partial"} <= set(values):
+        assert [x.c_low for x in Q.gate_measures(spark, d).collect()] in ([got["ok"][1]], [got["partial"][1]])
+
+
 def test_amount_rules(spark):
     ddl = "doc_id int, id int, ordering int, label string, value double, unit string, is_total_component boolean, is_installment boolean"
     a = spark.createDataFrame([(1, 1, 0, "总价", 200000.0, None, True, False), (1, 2, 1, "首期", 500000.0, None, False, True), (1, 3, 2, "余款", 150000.0, None, False, True), (2, 4, 0, "总价", 100.0, None, True, False), (2, 5, 1, "a", 60.0, None, False, True), (2, 6, 2, "b", 40.5, None, False, True), (3, 7, 0, "x", 500000.0, None, False, False), (3, 8, 1, "总", 200000.0, None, True, False), (3, 9, 2, "单价", 2.0, "元/㎡", True, False)], ddl)
