@@ -147,6 +147,27 @@ def stretches(p: np.ndarray, w: np.ndarray, diagonals: np.ndarray, penalty: int
     return sorted(out)
 
 
+def gram_diagonals(p: np.ndarray, w: np.ndarray, n: int = 4) -> np.ndarray:
+    """Diagonals on which passage and text share ``n`` tokens in a row.
+
+    With 4 none is missed that holds a stretch: 8 + 3 s equal tokens around s others leave more than 3 in a row."""
+    if min(len(p), len(w)) < n:
+        return np.zeros(0, np.int64)
+    _, ids = np.unique(np.concatenate([p, w]), return_inverse=True)
+    width = np.uint64(len(ids) + 1)
+
+    def grams(ids: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(ids) - n + 1, np.uint64)
+        for k in range(n):
+            h = h * width + ids[k : len(ids) - n + 1 + k].astype(np.uint64)
+        return h
+
+    mine, theirs = grams(ids[: len(p)]), grams(ids[len(p) :])
+    order = np.argsort(mine, kind="stable")
+    lo, hi = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
+    return np.unique(np.concatenate([at - order[a:b] for at, a, b in zip(np.flatnonzero(hi > lo), lo[hi > lo], hi[hi > lo])] or [np.zeros(0, np.int64)]))
+
+
 def two_longest(found: list[tuple[int, int, int]], shift: int = 5, gap: int = 10) -> int:
     """Tokens of the passage in its two longest chained stretches (chained: near diagonals, near each other, in order)."""
     chains: list[list[int]] = []
@@ -199,11 +220,18 @@ def leaks_in(texts: list[str], index: SeedIndex, share: float, slack: float = 0.
         d, n = np.unique(diagonals[lo:hi], return_counts=True)
         i, j = divmod(int(k), len(index.ids))
         p = index.x[index.starts[j] : index.starts[j + 1]]
-        # All diagonals within reach of each other could chain; a family with too few hits for a quarter can't matter.
+        w, least = x[starts[i] : starts[i + 1]], (share - slack) * len(p)
+        # Verified on the diagonals of families with 4 hits, then of all hits.  The longer of two stretches is at least
+        # half of what is wanted; where there is such a one, the other may be too short for the seeds.
         family = np.cumsum(np.r_[True, np.diff(d) > 5]) - 1
         strong = np.bincount(family, n)[family] >= 4
-        found = stretches(p, x[starts[i] : starts[i + 1]], d[strong])
-        if two_longest(found) >= (share - slack) * len(p):
+        reach = two_longest(stretches(p, w, d[strong]))
+        if reach < least and not strong.all():
+            reach = two_longest(stretches(p, w, d))
+        if least / 2 <= reach < least:
+            reach = two_longest(stretches(p, w, gram_diagonals(p, w)))
+        enough = reach >= least
+        if enough:
             out.append((i, j))
     return out
 

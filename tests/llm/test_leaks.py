@@ -48,6 +48,24 @@ def test_two_stretches_count_together():
     assert L.leaks_in([two, one], index, 0.5) == [(0, 0)]
 
 
+def test_a_short_second_stretch_counts():
+    r = random.Random(12)
+    passage = [f"p{k}" for k in range(82)]
+    noise = lambda: [r.choice(WORDS) for _ in range(50)]
+    changed = passage[60:75]
+    changed[7] = "other"
+    texts = [" ".join(noise() + passage[:33] + noise() + x + noise()) for x in (passage[60:75], changed, passage[60:64], [])]
+    assert L.leaks_in(texts, L.SeedIndex([(1, " ".join(passage))]), 0.5) == [(0, 0), (1, 0)]
+
+
+def test_gram_diagonals_hold_every_stretch():
+    r = random.Random(3)
+    for _ in range(50):
+        p, w = (np.array([r.randrange(4) for _ in range(n)]) for n in (40, 90))
+        every = L.stretches(p, w, np.arange(-len(p), len(w)))
+        assert L.stretches(p, w, L.gram_diagonals(p, w)) == every
+
+
 def test_tokens_ignore_case_width_and_layout():
     a, _ = L.tokens(["Ab９ 中，文-X"])
     b, _ = L.tokens(["ａB9\n中文 x"])
