@@ -27,6 +27,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,11 +289,32 @@ def latin_names(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
 
 
 SINGLE, _BEFORE, _AFTER = frozenset(SURNAMES), frozenset(BEFORE_NAME), frozenset(AFTER_NAME)
-SPANS = "array<struct<kind:string,a:int,b:int,item:string,votes:array<int>,places:array<int>,shape:array<float>>>"
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("item", pa.string()), ("votes", pa.string()), ("places", pa.list_(pa.int32())), ("shape", pa.list_(pa.float32()))]))
+SPANS_VOTED = pa.list_(pa.struct([f for f in SPANS.value_type if f.name != "places"]))
+SPANS_ACCEPTED = pa.list_(pa.struct(list(SPANS.value_type)[:4]))
+VOTED = "array<struct<kind:string,a:int,b:int,item:string,votes:string,shape:array<float>>>"
+ACCEPTED = "array<struct<kind:string,a:int,b:int,item:string>>"
 
 
-@vectorised(SPANS)
-def proposed(texts: pd.Series) -> pd.Series:
+def listed(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of tuples as an Arrow array of lists of structs, column by column."""
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    fields = list(kind.value_type)
+    columns = list(zip(*(x for r in rows for x in r))) or [()] * len(fields)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields))
+
+
+def unlisted(column: pa.ListArray) -> list[list[tuple]]:
+    """The inverse of ``listed``."""
+    flat = column.flatten()
+    rows = list(zip(*(f.to_pylist() for f in flat.flatten())))
+    ends = np.cumsum([n or 0 for n in pc.list_value_length(column).to_pylist()]).tolist()
+    return [rows[x:y] for x, y in zip([0, *ends], ends)]
+
+
+def propose(texts: list[str]) -> list[list[tuple]]:
+    """The possible spans of each text as (kind, from, to, item, votes, places, shape)."""
     memo: dict = {}
     out = []
     for t in texts:
@@ -306,9 +329,16 @@ def proposed(texts: pd.Series) -> pd.Series:
             rows.append((kind, a, b, reduce_item(span), votes_of(kind, span, unbroken(t[max(0, a - 24) : a])[-14:], unbroken(t[b : b + 20])[:12]), [], shape_of(span)))
         taken = sorted((a, b) for _, a, b in found)
         rows += chinese_names(t, taken) + latin_names(t, taken)
-        memo[t] = rows
-        out.append(rows)
-    return pd.Series(out)
+        memo[t] = [(*r[:4], ",".join(map(str, r[4])), *r[5:]) for r in rows]
+        out.append(memo[t])
+    return out
+
+
+def proposed(text: Column | str) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return listed(propose(texts.to_pylist()), SPANS)
+
+    return F.arrow_udf(run, "array<struct<kind:string,a:int,b:int,item:string,votes:string,places:array<int>,shape:array<float>>>").asNondeterministic()(text)  # run once, not again in a filter
 
 
 def shape_of(span: str) -> list[float]:
@@ -339,21 +369,22 @@ def contended(rows: list[tuple]) -> list[tuple]:
 
 
 def voted(odds: dict[int, float]):
-    """Vectorised: proposed spans -> the same with the learned votes filled in as ``votes``, a text of them all."""
+    """Proposed spans -> the same with the learned votes filled in, overlapping names contended."""
 
-    def run(columns: pd.Series) -> pd.Series:
+    def run(columns: pa.Array) -> pa.Array:
         out = []
-        for spans in columns:
+        for spans in unlisted(columns):
             rows = []
-            for s in spans:
-                votes = s["votes"].tolist()
-                if len(s["places"]):
-                    votes = learned_votes(s["kind"], votes, [odds.get(p, 0.0) for p in s["places"].tolist()])
-                rows.append((s["kind"], s["a"], s["b"], s["item"], ",".join(map(str, votes)), s["shape"], sum(votes)))
+            for kind, a, b, item, votes, places, shape in spans:
+                v = list(map(int, votes.split(",")))
+                if places:
+                    v = learned_votes(kind, v, [odds.get(p, 0.0) for p in places])
+                    votes = ",".join(map(str, v))
+                rows.append((kind, a, b, item, votes, shape, sum(v)))
             out.append(contended(rows))
-        return pd.Series(out)
+        return listed(out, SPANS_VOTED)
 
-    return F.pandas_udf(run, "array<struct<kind:string,a:int,b:int,item:string,votes:string,shape:array<float>>>")
+    return F.arrow_udf(run, VOTED)
 
 
 def sign(x: float, margin: float = 0.7) -> int:
@@ -436,27 +467,27 @@ def train(sample: list[tuple[str, str, list[float]]], reliability: dict, posteri
 
 
 def decide(w: list[float]):
-    """Vectorised: spans with votes -> accepted spans without overlaps, by kind and then by how sure they are."""
+    """Spans with votes -> accepted spans without overlaps, by kind and then by how sure they are."""
 
-    def run(columns: pd.Series) -> pd.Series:
+    def run(columns: pa.Array) -> pa.Array:
         weights, memo, out = np.array(w), {}, []
-        for spans in columns:
+        for spans in unlisted(columns):
             good = []
-            for s in spans:
-                key = (s["kind"], s["votes"], tuple(s["shape"]))
+            for kind, a, b, item, votes, shape in spans:
+                key = (kind, votes, *shape)
                 if key not in memo:
-                    memo[key] = float(np.dot(features(s["kind"], s["votes"], list(s["shape"])), weights))
+                    memo[key] = float(np.dot(features(kind, votes, shape), weights))
                 if memo[key] > 0:
-                    kind = s["kind"].removesuffix("_zh").removesuffix("_en")
-                    good.append((KINDS.index(kind), -round(memo[key], 6), s["a"], -s["b"], kind, s["item"]))
+                    kind = kind.removesuffix("_zh").removesuffix("_en")
+                    good.append((KINDS.index(kind), -round(memo[key], 6), a, -b, kind, item))
             kept: list[tuple] = []
             for _, _, a, b, kind, item in sorted(good):
                 if all(-b <= x[1] or a >= x[2] for x in kept):
                     kept.append((kind, a, -b, item))
             out.append(sorted(kept, key=lambda s: s[1]))
-        return pd.Series(out)
+        return listed(out, SPANS_ACCEPTED)
 
-    return F.pandas_udf(run, "array<struct<kind:string,a:int,b:int,item:string>>")
+    return F.arrow_udf(run, ACCEPTED)
 
 
 def learned(held: DataFrame) -> dict[int, float]:
@@ -468,7 +499,7 @@ def learned(held: DataFrame) -> dict[int, float]:
     zh = F.col("kind") == "name_zh"
     parts = F.when(zh, F.concat(F.slice("places", 1, F.size("places") - 4), F.slice("places", -1, 1))).otherwise(F.slice("places", 1, 2))
     beside = F.when(zh, F.slice("places", -3, 2)).otherwise(F.slice("places", 3, 2))
-    seed = (F.col("votes")[2] > 0) & (F.col("votes")[3] > 0) & (F.col("votes")[4] == 0) & (F.col("votes")[5] == 0)
+    seed = F.col("votes").rlike("^-?[01],-?[01],1,1,0,0,")
 
     def odds(of: Column, chosen: Column) -> dict[int, float]:
         counted = spans.select("kind", chosen.alias("chosen"), F.explode(of).alias("place")).groupBy("kind", "place").agg(F.count("*").alias("n"), F.count_if("chosen").alias("k"))
@@ -482,13 +513,14 @@ def learned(held: DataFrame) -> dict[int, float]:
 
 
 def made_of(odds: dict[int, float]):
-    """Vectorised: whether a span is made of what names are made of."""
+    """Whether a span is made of what names are made of, and ends where the given name does."""
 
-    def run(kinds: pd.Series, votes: pd.Series, places: pd.Series) -> pd.Series:
-        votes = (learned_votes(k, v, [odds.get(int(p), 0.0) for p in ps]) for k, v, ps in zip(kinds, votes, places))
-        return pd.Series([v[6] > 0 and v[3] >= 0 for v in votes])
+    def run(kinds: pa.Array, votes: pa.Array, places: pa.Array) -> pa.Array:
+        rows = zip(kinds.to_pylist(), votes.to_pylist(), places.to_pylist())
+        votes_ = (learned_votes(k, list(map(int, v.split(","))), [odds.get(p, 0.0) for p in ps]) for k, v, ps in rows)
+        return pa.array([v[6] > 0 and v[3] >= 0 for v in votes_], pa.bool_())
 
-    return F.pandas_udf(run, "boolean")
+    return F.arrow_udf(run, "boolean")
 
 
 def find_personal(rows: DataFrame, text: str = "text", sample_spans: int = 20_000, keep_text: bool = True) -> DataFrame:
@@ -501,7 +533,7 @@ def find_personal(rows: DataFrame, text: str = "text", sample_spans: int = 20_00
     each = held.select(F.explode("proposed").alias("s")).select("s.kind", "s.votes", "s.shape", "s.item")
     counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # bounded: 3 votes, 7 labelers, 6 kinds
     if not counts:
-        return held.select(*kept, F.lit(None).cast("array<struct<kind:string,a:int,b:int,item:string>>").alias("spans")).limit(0)
+        return held.select(*kept, F.lit(None).cast(ACCEPTED).alias("spans")).limit(0)
     reliability, posterior = estimate(counts)
     sample = each.orderBy(F.xxhash64("item", "votes"), "item", "votes").limit(sample_spans).select("kind", "votes", "shape").collect()
     w = train([(r.kind, r.votes, list(r.shape)) for r in sample], reliability, posterior)

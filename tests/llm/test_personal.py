@@ -62,7 +62,7 @@ def test_addresses_as_far_as_they_go():
 
 
 def test_estimate_separates():
-    counts = [("phone", "1,1,1,1,0,0,0", 90), ("phone", "1,1,0,1,-1,0,0", 20), ("phone", "-1,-1,0,0,-1,-1,0", 5)]
+    counts = [("phone", "1,1,1,1,0,0,0", 900), ("phone", "1,1,0,1,-1,0,0", 20), ("phone", "-1,-1,0,0,-1,-1,0", 20)]
     odds, p = P.estimate(counts)
     assert p["phone", "1,1,1,1,0,0,0"] > 0.8 > 0.3 > p["phone", "1,1,0,1,-1,0,0"]
     assert odds["phone"][0][4][0] < 0 < odds["phone"][0][0][2]
