@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +87,7 @@ class Perceptron:
 
 
 def squeeze(text: str) -> str:
-    return re.sub(r"\s+", "", text)
+    return "".join(text.split())
 
 
 def line_key(line: str) -> str:
@@ -103,6 +105,16 @@ def likeness(a: set[str], b: set[str]) -> float:
     return len(small & large) / len(small) if small else 0.0
 
 
+def title_likeness(bare: str, grams: set[str]) -> float:
+    """``likeness`` of a squeezed line to the title's bigrams, mostly without the line's own set."""
+    low = bare.lower()
+    shared = sum(g in low for g in grams)
+    if not shared:
+        return 0.0
+    size = len(grams) if len(set(low)) > len(grams) else min(len(grams), len({low[i : i + 2] for i in range(len(low) - 1)}))
+    return shared / size
+
+
 def shape(line: str) -> str:
     s = re.sub(r"\d+", "9", line.strip())
     s = re.sub("[一二三四五六七八九十]+", "一", s)
@@ -113,35 +125,120 @@ def shape(line: str) -> str:
 STOP = re.compile("[，。；,;]")
 
 
+class Lines:
+    """The lines of a page with what their features need, each computed when first asked for."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.bare = [x.strip() for x in lines]
+        full = [i for i, x in enumerate(self.bare) if x]
+        self.first = full[0] if full else 0
+        title = self.bare[self.first].lstrip("# ").strip() if lines else ""
+        self.grams, self.size = bigrams(title), len(squeeze(title))
+        lengths = sorted(len(lines[i]) for i in full)
+        self.wide = lengths[len(lengths) * 3 // 4] if lengths else 1
+        #: Every line but blank ones and the title at the very top may be furniture.
+        self.open = [i for i in full if i != self.first]
+        self.numbers = {i for i in self.open if len(lines[i]) < 30 and PAGE.fullmatch(self.bare[i])}
+        self.before = dict(zip(full[1:], full))
+        self.last = len(lines) - 1
+
+    @cached_property
+    def keys(self) -> Counter:
+        return Counter(line_key(self.lines[i]) for i in self.open)
+
+    def keys_of(self, i: int, stop: bool) -> Iterator[tuple]:
+        """What each group of a line's page-position features depends on, cheap groups first; ``spelt`` spells them out.
+
+        ``stop`` tells whether the line has punctuation of running text."""
+        lines, bare_lines, text = self.lines, self.bare, self.bare[i]
+        end = text[-1]
+        above = self.before.get(i)
+        rel = min(5, len(text) * 5 // (self.wide or 1))
+        yield (
+            i in self.numbers, stop, min(12, len(text)), rel, "x" if end.isalnum() else end,
+            not bare_lines[i - 1], i < self.last and not bare_lines[i + 1], i == self.last, i == self.first + 1, above is not None and bare_lines[above][-1] not in END,
+        )
+        bare = "".join(text.split())
+        near = not self.numbers.isdisjoint((i - 2, i - 1, i + 1, i + 2)) if self.numbers else False
+        like = int(title_likeness(bare, self.grams) * 5) if len(bare) > 2 else 0
+        yield like, max(-3, min(3, (len(bare) - self.size) // 4)), rel, stop, near
+        yield ("", "", near, stop) if stop else (bare[-4:], bare[:2], near, stop)  # running text ends in anything
+        yield min(3, self.keys[line_key(lines[i])]), min(9, len(bare) // 3), stop
+        yield (shape(text),)
+
+
+def spelt(group: int, key: tuple) -> list[str]:
+    """The features of one group."""
+    if group == 0:
+        page, stop, size, rel, end, blank, after, last, second, cut = key
+        return [
+            "bias", f"page{page}stop{stop}", f"stop{stop}len{size}", f"stop{stop}rel{rel}", f"page{page}len{size}", f"end={end}stop{stop}",
+            f"blankbefore{blank}", f"blankafter{after}", f"last{last}", f"second{second}", f"cut{cut}stop{stop}", f"before{blank}after{after}stop{stop}rel{rel}",
+        ]
+    if group == 1:
+        like, extra, rel, stop, near = key
+        return [f"like{like}", f"like{like}extra{extra}", f"like{like}rel{rel}", f"like{like}stop{stop}", f"near{near}like{like}"]
+    if group == 2:
+        tail, head, near, stop = key
+        return [f"near{near}stop{stop}"] if stop else [f"tail={tail[-2:]}", f"tail4={tail}", f"head={head}", f"near{near}stop{stop}"]
+    if group == 3:
+        again, short, stop = key
+        return [f"repeat{again}stop{stop}", f"repeat{again}len{short}"]
+    return [f"shape={key[0]}"]
+
+
 def line_features(lines: list[str]) -> list[list[str] | None]:
-    """Page-position features of each line; None for blank lines, the title at the very top and lines with the
-    punctuation of running text, which furniture never has."""
-    first = next((i for i, x in enumerate(lines) if x.strip()), 0)
-    title = lines[first].lstrip("# ").strip() if lines else ""
-    grams, size = bigrams(title), len(squeeze(title))
-    lengths = sorted(len(x) for x in lines if x.strip())
-    wide = lengths[len(lengths) * 3 // 4] if lengths else 1
-    open_ = [i for i, x in enumerate(lines) if i != first and x.strip() and not STOP.search(x)]
-    keys = Counter(line_key(lines[i]) for i in open_)
-    numbers = {i for i in open_ if len(lines[i]) < 30 and PAGE.fullmatch(lines[i].strip())}
+    """All features of each line; None for blank lines and the title at the very top."""
+    page = Lines(lines)
     out: list[list[str] | None] = [None] * len(lines)
-    for i in open_:
-        text = lines[i].strip()
-        bare = squeeze(text)
-        before = next((lines[j].strip() for j in range(i - 1, -1, -1) if lines[j].strip()), "")
-        near = any(j in numbers for j in range(i - 2, i + 3) if j != i)
-        like = int(likeness(bigrams(text), grams) * 5) if len(bare) > 2 else 0
-        extra, short, rel = max(-3, min(3, (len(bare) - size) // 4)), min(9, len(bare) // 3), min(5, len(text) * 5 // max(1, wide))
-        again = min(3, keys[line_key(lines[i])])
-        page = i in numbers
-        out[i] = [
-            "bias", f"page{page}len{min(12, len(bare))}", f"page{page}", f"shape={shape(text)}", f"len{short}", f"rel{rel}", f"like{like}", f"like{like}extra{extra}", f"like{like}rel{rel}", f"end={text[-1] if not text[-1].isalnum() else 'x'}",
-            f"blankbefore{i > 0 and not lines[i - 1].strip()}", f"blankafter{i + 1 < len(lines) and not lines[i + 1].strip()}", f"last{i == len(lines) - 1}", f"second{i == first + 1}", f"cut{bool(before) and before[-1] not in END}",
-            f"near{near}like{like}", f"repeat{again}", f"repeat{again}len{short}", f"tail={bare[-2:]}", f"tail4={bare[-4:]}", f"head={bare[:2]}",
-        ]
+    for i in page.open:
+        out[i] = [f for group, key in enumerate(page.keys_of(i, STOP.search(page.bare[i]) is not None)) for f in spelt(group, key)]
     return out
 
 
+class FurnitureModel:
+    """The furniture perceptron with what its later feature groups can add at most.
+
+    A line is given up as soon as these can't make it furniture any more: the same answer as with all features."""
+
+    def __init__(self, w: dict[str, dict[str, float]], most: int = 200_000):
+        self.gain = {f: row.get("F", 0.0) - row.get("K", 0.0) for f, row in w.items()}
+        best: dict[str, float] = defaultdict(float)
+        for f, x in self.gain.items():
+            kind = kind_of(f)
+            best[kind] = max(best[kind], x)
+        self.rest = {}
+        for stop, line in ((False, "y"), (True, "y，y")):
+            sums = [sum(best[kind_of(f)] for f in spelt(g, key)) for g, key in enumerate(Lines(["x", line]).keys_of(1, stop))]
+            self.rest[stop] = [sum(sums[k + 1 :]) for k in range(len(sums))]
+        self.memo: list[dict[tuple, float]] = [{} for _ in range(5)]
+        self.most = most
+
+    def is_furniture(self, page: Lines, i: int) -> bool:
+        stop = STOP.search(page.bare[i]) is not None
+        total = 0.0
+        for group, (key, memo, rest) in enumerate(zip(page.keys_of(i, stop), self.memo, self.rest[stop])):
+            part = memo.get(key)
+            if part is None:
+                if len(memo) > self.most:
+                    memo.clear()
+                part = memo[key] = sum(self.gain.get(f, 0.0) for f in spelt(group, key))
+            total += part
+            if total + rest <= 1e-9:
+                return False
+        return total > 1e-9
+
+
+def kind_of(feature: str) -> str:
+    """Which of a line's features this is, without its values."""
+    return FEATURE_VALUE.sub("", feature.partition("=")[0])
+
+
+FEATURE_VALUE = re.compile(r"True|False|-?\d+$|(?<=page)-?\d+|(?<=like)\d|(?<=repeat)\d")
+
+
+
 def line_labels(lines: list[str], other: str) -> list[str | None]:
     """'F' for lines the other rendering lacks, 'K' for those it has, None where that can't be told."""
     head = bigrams(next((x for x in lines if x.strip()), "").lstrip("# "))
@@ -160,7 +257,7 @@ def line_labels(lines: list[str], other: str) -> list[str | None]:
         else:
             q = [s[i : i + 5] for i in range(len(s) - 4)]
             share = sum(g in grams for g in q) / len(q)
-            out.append("K" if share > 0.5 else "F" if share < 0.12 and not re.search("[，。；,;]", line) else None)
+            out.append("K" if share > 0.5 else "F" if share < 0.12 else None)
     return out
 
 
@@ -289,8 +386,11 @@ def break_features(text: str, i: int, gap: list[str], lines_wide: int, words: di
     return f
 
 
-def learn(pages: list[tuple[str, str]]) -> dict:
-    """Train both perceptrons on pages with two renderings; the model is a plain dictionary."""
+def learn(pages: list[tuple[str, str]], kept_places: int = 600, least_seen: int = 2) -> dict:
+    """Train both perceptrons on pages with two renderings; the model is a plain dictionary.
+
+    The editor learns from every misread place and, of each character that was ever misread, from ``kept_places`` places
+    where it was not; characters misread fewer than ``least_seen`` times on the training pages are never edited."""
     lines_data = []
     for x, y in pages:
         for text, other in ((x, y), (y, x)):
@@ -299,12 +399,13 @@ def learn(pages: list[tuple[str, str]]) -> dict:
                 if f and label:
                     lines_data.append((f, label))
     furniture = Perceptron(("K", "F")).train(lines_data, 5)
+    judge = FurnitureModel(furniture.w)
     lexicon, bodies = Lexicon(), []
     for x, y in pages:
         pair = []
         for text in (x, y):
             lines = text.split("\n")
-            out = furniture_lines(furniture, lines)
+            out = furniture_lines(judge, lines)
             body = body_of(lines, out)
             lexicon.add(body[0], " ".join(v for n, v in enumerate(lines) if n not in out))
             pair.append(body)
@@ -347,7 +448,7 @@ def learn(pages: list[tuple[str, str]]) -> dict:
             for i, jj in same:
                 if i in touched:
                     continue
-                kept, most = suspects[a[i]], 600  # bounded for each character, over all training pages
+                kept, most = suspects[a[i]], kept_places
                 met[a[i]] += 1
                 if len(kept) < most:
                     kept.append((a, i, ga))
@@ -369,14 +470,15 @@ def learn(pages: list[tuple[str, str]]) -> dict:
         examples += [(char_features(a, i, words, g), "K") for a, i, g in suspects[c]]
     editor = Perceptron(("K",)).train(examples, 6)
     liner = Perceptron(("KEEP",)).train(breaks, 6)
-    return {"furniture": furniture.w, "editor": editor.w, "breaks": liner.w, "words": words, "suspects": sorted(c for c, n in wrong.items() if n > 1), "examples": len(examples), "lines": len(lines_data), "line_ends": len(breaks)}
+    return {"furniture": furniture.w, "editor": editor.w, "breaks": liner.w, "words": words, "suspects": sorted(c for c, n in wrong.items() if n >= least_seen), "examples": len(examples), "lines": len(lines_data), "line_ends": len(breaks)}
 
 
-def furniture_lines(model: Perceptron, lines: list[str]) -> set[int]:
-    feats = line_features(lines)
-    return {i for i, f in enumerate(feats) if f and model.predict(f) == "F"}
+def furniture_lines(model: FurnitureModel, lines: list[str]) -> set[int]:
+    page = Lines(lines)
+    return {i for i in page.open if model.is_furniture(page, i)}
 
 
+FAR = "0123456789^ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # what may stand two places off in a number or code
 TOKEN = re.compile("[A-Za-z0-9!]+")
 _BLANK = re.compile(r"\s+")
 
@@ -385,13 +487,15 @@ class Repairer:
     """Applies a model to pages.  Decisions are kept by what they depend on: a token, or a window of five characters."""
 
     def __init__(self, model: dict, most: int = 300_000):
-        self.furniture, self.editor, self.breaks = Perceptron(("K",)), Perceptron(("K",)), Perceptron(("KEEP",))
-        self.furniture.w, self.editor.w, self.breaks.w = model["furniture"], model["editor"], model["breaks"]
+        self.editor, self.breaks = Perceptron(("K",)), Perceptron(("KEEP",))
+        self.editor.w, self.breaks.w = model["editor"], model["breaks"]
+        self.furniture = FurnitureModel(model["furniture"]) if model["furniture"] else None
         self.words, self.most = model["words"], most
         self.suspects = set(model["suspects"])
         han = "".join(c for c in model["suspects"] if not in_token(c))
         self.han = re.compile("[" + re.escape(han) + "]") if han else None
         self.latin = re.compile("[" + re.escape("".join(c for c in model["suspects"] if in_token(c))) + "]") if self.suspects - set(han) else None
+        self.operations = sorted({o for row in self.editor.w.values() for o in row} - {"K"})
         self.memo: dict = {}
 
     def remember(self, key, value):
@@ -403,7 +507,7 @@ class Repairer:
     def flow(self, text: str) -> tuple[list[int], list[int], str, list[int]]:
         """(furniture lines, kept lines, their text, where each begins in it)."""
         lines = text.split("\n")
-        if self.furniture.w:
+        if self.furniture:
             out = furniture_lines(self.furniture, lines)
         else:
             out = {i for i, x in enumerate(lines) if i and PAGE.fullmatch(x.strip() or "x")}
@@ -434,8 +538,6 @@ class Repairer:
         if self.latin:
             for m in TOKEN.finditer(flow):
                 token = m.group()
-                if token.isdigit() or token[1:].isdigit() and token[0].isupper():
-                    continue  # a number or code can't be told from another
                 a, b = m.span()
                 before = flow[a - 1] if a and flow[a - 1] > "\u33ff" else ""
                 after = flow[b] if b < len(flow) and flow[b] > "\u33ff" else ""
@@ -443,7 +545,7 @@ class Repairer:
                 ops = memo.get(key)
                 if ops is None:
                     before, after = before if HAN.match(before) else "", after if HAN.match(after) else ""
-                    ops = tuple((k, op) for k, c in enumerate(token) if c in self.suspects for op in (self.editor.predict(token_features(before, token, after, k, self.words)),) if op != "K")
+                    ops = tuple((k, op) for k, c in enumerate(token) if c in self.suspects for op in (self.token_edit(before, token, after, k),) if op != "K")
                     self.remember(key, ops)
                 if ops and not personal(flow, a, b):
                     if flow[b : b + 1] in HYPHENS and flow[b + 1 : b + 2] == "\n" or flow[a - 2 : a - 1] in HYPHENS and flow[a - 1 : a] == "\n":
@@ -451,6 +553,54 @@ class Repairer:
                     found += [(a + k, op) for k, op in ops]
         return sorted(found)
 
+    def token_edit(self, before: str, token: str, after: str, k: int) -> str:
+        """The operation on a token's character; tokens the training pages lack differ by what stands around it only."""
+        low = token.lower()
+        if f"w{low}@{k}" in self.editor.w or token.isalpha():
+            return self.editor.predict(token_features(before, token, after, k, self.words))
+        known = min(3, self.words.get(low, 0) // 3)
+        p, c, q = ("^" + token + "^")[k : k + 3]
+        if before and f"b{before}{kind(p)}{c}" not in self.editor.w:
+            before = "\0"  # some Han character the model knows nothing of
+        if after and f"a{c}{kind(q)}{after}" not in self.editor.w:
+            after = "\0"
+        if (token.isdigit() or token[0].isupper() and token[1:].isdigit()) and self.kept_digit(before, token, after, k, known):
+            return "K"
+        key = (("^^" + token + "^^")[k : k + 5], before, after, token[0].isupper(), token[0].isdigit(), known)
+        op = self.memo.get(key)
+        return op if op is not None else self.remember(key, self.editor.predict(token_features(before, token, after, k, self.words)))
+
+    def kept_digit(self, before: str, token: str, after: str, k: int, known: int) -> bool:
+        """Whether a character of a number or code stays whatever stands two places off: its other features can't outweigh this.
+
+        ``token`` has no feature of its own in the model.  Decided once for its neighbours and the number's surroundings."""
+        p, c, q = ("^" + token + "^")[k : k + 3]
+        key = (p, c, q, before, after, token[0].isupper(), known)
+        kept = self.memo.get(key)
+        if kept is not None:
+            return kept
+        feats = token_features(before, token, after, k, self.words)
+        far = [f for f in feats if f[:2] in ("rp", "qs", "kk") or f.startswith("pqs")]
+        score = self.editor.score([f for f in feats if f not in far])
+        most: dict[str, float] = defaultdict(float)
+        for prefix, suffix in (("rp", f"{p}{c}"), ("rpq", f"{p}{c}{q}")):
+            self._add_most(most, [f"{prefix}{r}{suffix}" for r in FAR])
+        for prefix in (f"qs{c}{q}", f"pqs{p}{c}{q}"):
+            self._add_most(most, [prefix + r for r in FAR])
+        self._add_most(most, [f"kk{r}{kind(p)}{c}{kind(q)}{t}" for r in "9A^" for t in "9^"])
+        return self.remember(key, all(score.get(o, 0.0) - score.get("K", 0.0) + most[o] <= 0 for o in self.operations))
+
+    def _add_most(self, most: dict[str, float], feats: list[str]) -> None:
+        """Add to each operation the most one of the features can favour it over keeping."""
+        best: dict[str, float] = {}
+        for f in feats:
+            row = self.editor.w.get(f)
+            if row:
+                for o in self.operations:
+                    best[o] = max(best.get(o, 0.0), row.get(o, 0.0) - row.get("K", 0.0))
+        for o, x in best.items():
+            most[o] += x
+
     def line_end(self, flow: str, i: int) -> tuple[str, bool]:
         """(operation, whether a word may be cut there) at the line break at place ``i``."""
         left = flow[max(0, i - 40) : i].rstrip()

@@ -98,3 +98,36 @@ def test_frame(spark):
     model = S.train_model(df, 5)
     assert S.find_noise(texts, model).count() == 11 and S.repair(texts, model).where("doc_id = 91").head().repaired == "只有原文，另一份无。"
     assert S.find_noise(texts.limit(0), S.train_model(df.limit(0))).count() == 0
+
+
+def test_lines_with_commas_are_classified():
+    lines = ["示例置业有限公司，借款合同", "", *(["供货方应逐项补正原始行程单，并以最近一次签收的版本为准；"] * 6), "示例置业有限公司，借款合同，第3页", "其余照旧。"]
+    assert all(S.line_features(lines)[i] for i in (2, 8, 9))
+
+
+def test_giving_up_early_changes_nothing():
+    """Every line gets the label that all its features give."""
+    r = random.Random(7)
+    pages = [render(r, "房屋租赁合同 编号 778", [r.choice(SENTENCES) for _ in range(9)], False, 31)[0] for _ in range(40)]
+    pairs = list(zip(pages, [p.replace("- ", "-") for p in pages[1:]]))
+    data = [(f, "F" if S.PAGE.fullmatch(x.strip()) or r.random() < 0.02 else "K") for p, _ in pairs for x, f in zip(p.split("\n"), S.line_features(p.split("\n"))) if f]
+    w = S.Perceptron(("K", "F")).train(data, 5)
+    model = S.FurnitureModel(w.w)
+    for p, _ in pairs:
+        lines = p.split("\n")
+        for i, f in enumerate(S.line_features(lines)):
+            if f:
+                s = w.score(f)
+                assert model.is_furniture(S.Lines(lines), i) == (s.get("F", 0.0) - s.get("K", 0.0) > 1e-9)
+
+
+def test_numbers_are_decided_as_with_all_features():
+    r = random.Random(9)
+    texts = ["".join(r.choice("0123456789") for _ in range(r.randrange(1, 12))) for _ in range(400)]
+    data = [(S.token_features("", t, "", k, {}), "R:O" if c == "0" and t[k + 1 : k + 2] == "7" else "K") for t in texts for k, c in enumerate(t)]
+    editor = S.Perceptron(("K",)).train(data, 6)
+    model = {"furniture": {}, "editor": {f: x for f, x in editor.w.items() if not f.startswith("w")}, "breaks": {}, "words": {}, "suspects": list("0123456789")}
+    repairer = S.Repairer(model)
+    for t in ["".join(r.choice("0123456789") for _ in range(r.randrange(1, 14))) for _ in range(300)]:
+        for k in range(len(t)):
+            assert repairer.token_edit("", t, "", k) == repairer.editor.predict(S.token_features("", t, "", k, {}))
