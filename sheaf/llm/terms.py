@@ -2,8 +2,9 @@
 
 The reference list is extended by an alias dictionary (synonyms, other languages); every entry and alias
 is a node of one BK-tree per kind.  The metric is the unrestricted Damerau-Levenshtein distance (a true
-metric, so the triangle inequality prunes exactly).  The tree is built from the reference table, which is
-small and size-checked; beyond ``max_broadcast`` entries it is sharded and the shards' winners are merged.
+metric, so the triangle inequality prunes exactly).  The reference list is cut into shards of a bounded number of
+entries, one for a small list; each shard's tree is sent to all tasks, and the shards' winners are merged by the same
+rule that picks a winner within a shard, so the number of shards changes no answer.
 
 Edge cases: null values give no row; empty or symbol-only values, and values no entry lies close enough to,
 give term 0; repeated rows give one result row; an empty reference list leaves everything unmatched.
@@ -13,43 +14,44 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.script import plain
-from sheaf.sources.tables import table
+from sheaf.sources.tables import materialise, table
 
 # Other words for the reference terms, as people write them.
 ALIASES = {
     "doc_type": {
-        "合同协议": "合同 合约 协议 协议书 契约 合同类 合同书 合同/协议 协义 HT Contract agreement deal",
-        "保险凭证": "保单 保险单 投保单 保险 保险合同凭证 保险凭正 BX policy Insurance",
-        "证明": "证明书 证明文件 证明材料 收入证明 在职证明 开具证明 证眀 certificate proof",
-        "发票票据": "发票 票据 票 收据 增值税发票 发飘 FP invoice receipt",
+        "合同协议": "合同 合约 协议 协议书 契约 合同类 合同书 合同/协议 HT Contract agreement deal",
+        "保险凭证": "保单 保险单 投保单 保险 保险合同凭证 BX policy Insurance",
+        "证明": "证明书 证明文件 证明材料 收入证明 在职证明 开具证明 certificate proof",
+        "发票票据": "发票 票据 票 收据 增值税发票 FP invoice receipt",
         "报告": "报告书 报告类 检测报告 审计报告 评估报告 汇报 report",
-        "旅行资料": "旅游资料 旅行 行程单 酒店预订单 机票 出行 旅行资科 travel itinerary",
+        "旅行资料": "旅游资料 旅行 行程单 酒店预订单 机票 出行 travel itinerary",
         "证件": "身份证件 护照 驾照 营业执照 证照 ID证照 身份证 id passport idcard",
-        "其他": "其它 杂项 其他类 其佗 other misc",
+        "其他": "其它 杂项 其他类 other misc",
     },
     "date_label": {
-        "签订日": "签订日期 签署日期 签署之日 签约日 签字日 签定日 signed signedon datesigned",
+        "签订日": "签订日期 签署日期 签署之日 签约日 签字日 signed signedon datesigned",
         "到期日": "到期日期 到期 终止日期 截止日 届满日 有效期至 合同到期 expiry expires",
-        "出具日": "出具日期 开具日期 签发日 证明出具日 出据日 issued issuedate",
-        "生效日": "生效日期 生效时间 起效日 起保日期 生郊日 effective effectivedate",
-        "交付日": "交付日期 交付时间 交房日 交接日 移交日 交咐日 delivery deliverydate handover",
+        "出具日": "出具日期 开具日期 签发日 证明出具日 issued issuedate",
+        "生效日": "生效日期 生效时间 起效日 起保日期 effective effectivedate",
+        "交付日": "交付日期 交付时间 交房日 交接日 移交日 delivery deliverydate handover",
         "入职日": "入职日期 入司时间 到岗日 报到日 hiredate",
         "开票日": "开票日期 发票日期 票据日期 invoicedate",
-        "出生日": "出生日期 出生年月日 生日 岀生日 DOB birth birthday",
+        "出生日": "出生日期 出生年月日 生日 DOB birth birthday",
     },
     "seal_type": {
-        "公章": "公司章 单位公章 公司印章 行政章 公草 CompanySeal",
-        "合同专用章": "合同章 合约专用章 合同专章 合同专用 合冋专用章 ContractSeal",
-        "财务专用章": "财务章 财务专章 财务专用 财努专用章 FinanceSeal",
-        "发票专用章": "发票章 开票章 发票专用 发栗专用章 InvoiceSeal",
+        "公章": "公司章 单位公章 公司印章 行政章 CompanySeal",
+        "合同专用章": "合同章 合约专用章 合同专章 合同专用 ContractSeal",
+        "财务专用章": "财务章 财务专章 财务专用 FinanceSeal",
+        "发票专用章": "发票章 开票章 发票专用 InvoiceSeal",
         "法定代表人章": "法人章 法人名章 法代章 法定代表人名章 法人公章 私章(法人) LegalRepSeal",
-        "人事专用章": "人事章 人力资源章 人事专用 人亊专用章 HRSeal",
+        "人事专用章": "人事章 人力资源章 人事专用 HRSeal",
         "业务专用章": "业务章 承保业务章 业务专用 BusinessSeal",
     },
 }
@@ -148,77 +150,84 @@ def trees(rows: list[tuple[int, str, str]], aliases: dict = ALIASES) -> dict[str
     return out
 
 
-def best(tree: BKTree | None, text: str) -> tuple[int, int, int, int] | None:
-    """(edits, not the same characters, rank, term) of the entry meant, or None.
+def winners(tree: BKTree | None, text: str) -> tuple[tuple[int, int, int, int, int] | None, tuple[int, ...]]:
+    """What one shard says of a typed value: its nearest entry (edits, order, stripped, rank, term) or None, and the terms
+    (two at most) of two-character words that differ from the value's form in their last character only.
 
-    Two-character forms accept only a swap; ties go to the entry with the same characters, then to one the form is
-    a shortening of, then to the term itself before its aliases, then to the smaller id."""
+    Of equally near entries first comes one with the same characters, then one the form is a shortening of, then what
+    needs no prefix taken off, the term itself before its aliases, the smaller id."""
     if tree is None:
-        return None
-    found = []
+        return None, ()
+    found, loose = [], set()
     for stripped, form in enumerate(variants_of(key_of(text))):
         if not form or (stripped and len(form) < 2 and form != "票"):
             continue
         for d, entry, (rank, term) in tree.within(form, allowed(form)):
             same = sorted(form) == sorted(entry)
             if d and not same and min(len(form), len(entry)) <= 2 and not form.isascii():
+                if len(form) == len(entry) and form[0] == entry[0]:
+                    loose.add(term)
                 continue
             if d and not same and form.isascii() and len(form) <= 3:
                 continue
-            if d and stripped and len(form) <= 2 and not same:
-                continue
-            shorter = len(form) < len(entry)
-            found.append((d, 0 if same else 1 if shorter else 2, stripped, rank, term))
-    if not found:
-        return None
-    d, order, _, rank, term = min(found)
-    return d, order, rank, term
+            found.append((d, 0 if same else 1 if len(form) < len(entry) else 2, stripped, rank, term))
+    return (min(found) if found else None), tuple(sorted(loose)[:2])
+
+
+def chosen(nearest: tuple | None, loose: set[int]) -> tuple[int | None, int]:
+    """(edits, term) of a value from all shards' winners: the nearest entry; else, where all words that share the first of
+    two characters mean one term, that term; else none."""
+    if nearest:
+        return nearest[0], nearest[-1]
+    return (1, next(iter(loose))) if len(loose) == 1 else (None, 0)
+
+
+def best(tree: BKTree | None, text: str) -> tuple[int | None, int]:
+    """(edits, term) of the entry meant, looked up in one tree."""
+    nearest, loose = winners(tree, text)
+    return chosen(nearest, set(loose))
 
 
-def lookup(rows: list[tuple[int, str, str]], max_memo: int = 100_000):
-    """A vectorised function (kind, text) -> struct(edits, term); repeated values are looked up once per batch."""
+def lookup(rows: list[tuple[int, str, str]], aliases: dict, ddl: str, result, max_memo: int = 100_000):
+    """A vectorised function (kind, text) -> ``result`` of what one shard's trees say; repeated values are looked up once."""
     built: dict = {}
 
     def run(kinds: pd.Series, texts: pd.Series) -> pd.DataFrame:
         if not built:
-            built.update(trees=trees(rows), memo={})
+            built.update(trees=trees(rows, aliases), memo={})
         memo, forest = built["memo"], built["trees"]
         if len(memo) > max_memo:
             memo.clear()
         out = []
         for pair in zip(kinds, texts):
             if pair not in memo:
-                memo[pair] = best(forest.get(pair[0]), pair[1])
-            hit = memo[pair]
-            out.append((hit[0], hit[1] * 2 + hit[2], hit[3]) if hit else (None, None, 0))
-        return pd.DataFrame(out, columns=["edits", "tie", "term_id"])
+                memo[pair] = result(*winners(forest.get(pair[0]), pair[1]))
+            out.append(memo[pair])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ddl.split(", ")])
 
-    return F.pandas_udf(run, "edits int, tie int, term_id bigint")
+    return F.pandas_udf(run, ddl).asNondeterministic()
 
 
-def match_terms(df: DataFrame, terms: DataFrame, kind: str, text: str, max_broadcast: int = 100_000, shard_size: int = 50_000) -> DataFrame:
+def match_terms(df: DataFrame, terms: DataFrame, kind: str, text: str, shard_size: int = 50_000, aliases: dict = ALIASES) -> DataFrame:
     """``df`` with ``edits`` and ``term_id`` (0: unmatched) of each non-null ``text``.
 
-    Up to ``max_broadcast`` reference entries go to every task; more are cut into shards of ``shard_size``, every
-    distinct value is looked up in each shard's tree and the nearest of the shards' winners is kept."""
-    size = terms.limit(max_broadcast + 1).count()
+    The reference list is read in shards of about ``shard_size`` entries by a hash.  With one shard every row is looked up
+    where it is.  With more, the distinct values are looked up in each shard's trees in turn, spread over all tasks and
+    without a shuffle, and the shards' winners are merged by value."""
     df = df.where(F.col(text).isNotNull())
-    if size <= max_broadcast:
-        rows = [tuple(r) for r in terms.select("term_id", "kind", "term").where("term is not null").collect()]
-        hit = lookup(rows)(F.col(kind), F.col(text))
-        return df.withColumn("_hit", hit).select("*", "_hit.edits", "_hit.term_id").drop("_hit")
-    n = -(-terms.count() // shard_size)
-    sharded = terms.select("term_id", "kind", "term", F.pmod(F.hash("term"), F.lit(n)).alias("shard"))
-    values = df.select(F.col(kind).alias("kind"), F.col(text).alias("text")).distinct()
-    asked = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def one(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        forest = trees(list(entries[["term_id", "kind", "term"]].itertuples(index=False, name=None)))
-        out = [(k, t, *(best(forest.get(k), t) or ())) for k, t in zip(queries["kind"], queries["text"])]
-        return pd.DataFrame([(k, t, h[0], h[1] * 2 + h[2], h[3]) for k, t, *h in out if h], columns=["kind", "text", "edits", "tie", "term_id"])
-
-    won = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInPandas(one, "kind string, text string, edits int, tie int, term_id bigint")
-    won = won.groupBy("kind", "text").agg(F.min(F.struct("edits", "tie", "term_id")).alias("m")).select(F.col("kind").alias(kind), F.col("text").alias(text), "m.edits", "m.term_id")
+    terms = terms.where("term is not null").select("term_id", "kind", "term")
+    n = max(1, -(-terms.count() // shard_size))
+    shard = lambda k: [tuple(r) for r in terms.where(F.pmod(F.xxhash64("kind", "term"), F.lit(n)) == k).collect()]  # noqa: E731  # bounded by about shard_size
+    if n == 1:
+        hit = lookup(shard(0), aliases, "edits int, term_id bigint", lambda nearest, loose: chosen(nearest, set(loose)))
+        return df.withColumn("_hit", hit(F.col(kind), F.col(text))).select("*", "_hit.edits", "_hit.term_id").drop("_hit")
+    values = materialise(df.select(F.col(kind).alias("kind"), F.col(text).alias("text")).distinct(), "values")
+    parts = [values.withColumn("w", lookup(shard(k), aliases, "e int, p int, s int, r int, t bigint, loose array<bigint>", lambda nearest, loose: (*(nearest or (None,) * 5), list(loose)))("kind", "text")) for k in range(n)]
+    won = reduce(DataFrame.unionByName, parts).select("kind", "text", F.when(F.col("w.e").isNotNull(), F.struct("w.e", "w.p", "w.s", "w.r", "w.t")).alias("nearest"), "w.loose")
+    won = won.groupBy("kind", "text").agg(F.min("nearest").alias("nearest"), F.array_distinct(F.flatten(F.collect_list("loose"))).alias("loose"))  # two terms a shard at most
+    one = F.size("loose") == 1
+    edits, term = F.coalesce("nearest.e", F.when(one, 1)), F.coalesce("nearest.t", F.when(one, F.col("loose")[0]), F.lit(0))
+    won = won.select(F.col("kind").alias(kind), F.col("text").alias(text), edits.cast("int").alias("edits"), term.cast("bigint").alias("term_id"))
     return df.join(won, [kind, text], "left").fillna({"term_id": 0})
 
 

@@ -16,8 +16,14 @@ FOREST = T.trees(ROWS)
     ],
 )
 def test_meaning(kind, text, term):
-    hit = T.best(FOREST.get(kind), text)
-    assert (hit[3] if hit else 0) == term
+    assert T.best(FOREST.get(kind), text)[1] == term
+
+
+@pytest.mark.parametrize("kind, text, term", [("seal_type", "公草", 17), ("doc_type", "发飘", 4), ("doc_type", "证眀", 0), ("seal_type", "私章", 0), ("doc_type", "电子版协义", 1), ("seal_type", "合冋专用章", 18), ("date_label", "岀生日", 16)])
+def test_misspelt_words_are_no_aliases(kind, text, term):
+    """One edit is allowed in two characters where the first stays and all words that fit mean one term."""
+    assert not any(text in a.split() for of in T.ALIASES.values() for a in of.values())
+    assert T.best(FOREST.get(kind), text)[1] == term
 
 
 def test_metric_and_tree_equal_brute_force():
@@ -36,7 +42,20 @@ def test_broadcast_and_shards_agree(spark):
     terms = spark.createDataFrame(ROWS, "term_id bigint, kind string, term string")
     df = spark.createDataFrame([("doc_type", "合同", 1), ("doc_type", "合同", 1), ("doc_type", None, 2), ("seal_type", "章公", 3), ("seal_type", "??", 4), (None, "x", 5)], "kind string, text string, term_id_before int")
     whole = sorted((r.text, r.term_id) for r in T.match_terms(df, terms, "kind", "text").collect())
-    parts = sorted((r.text, r.term_id) for r in T.match_terms(df, terms, "kind", "text", max_broadcast=2, shard_size=3).collect())
+    parts = sorted((r.text, r.term_id) for r in T.match_terms(df, terms, "kind", "text", shard_size=3).collect())
     assert whole == parts == [("??", 0), ("x", 0), ("合同", 1), ("合同", 1), ("章公", 17)]
     assert T.match_terms(df.limit(0), terms, "kind", "text").count() == 0
     assert {r.term_id for r in T.match_terms(df, terms.limit(0), "kind", "text").collect()} == {0}
+
+
+def test_number_of_shards_changes_no_answer(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("甲乙丙丁戊己") for _ in range(n))
+    entries = [(k, r.choice(["a", "b"]), word(r.randrange(2, 6))) for k in range(1, 60)] + [(60, "a", "甲甲甲"), (61, "a", "合同书")]
+    aliases = {"a": {"甲甲甲": "电子合同书 " + word(3)}}
+    terms = spark.createDataFrame(entries, "term_id bigint, kind string, term string")
+    values = [(r.choice(["a", "b"]), word(r.randrange(1, 6))) for _ in range(300)] + [("a", "电子合同书")]
+    df = spark.createDataFrame(values, "kind string, text string")
+    answers = [sorted((r.kind, r.text, r.term_id, r.edits or 0) for r in T.match_terms(df, terms, "kind", "text", shard_size=n, aliases=aliases).collect()) for n in (50_000, 31, 9)]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 301
+    assert ("a", "电子合同书", 60, 0) in answers[0]
