@@ -2,7 +2,8 @@
 
 Every name is rewritten by rules (roles and seals' remarks off, nicknames, initials, legal forms, order of parts,
 traditional characters, usual abbreviations of a line of business) into keys; keys are exploded into forms, the
-forms are equi-joined, and a rewriting is believed by its rarity: a form that fits several entities links none.
+forms are equi-joined, and a rewriting is scored by its rarity, one over the number of entities its forms fit: a nickname
+is rewritten to every full name it may stand for, and links where only one of them is an entity of that surname.
 A misspelt key joins the better supported key that shares a one-edit form with it.  Groups are aggregated to one
 root per form, so no stage emits pairs before the last, whose pairs are the result.
 
@@ -37,18 +38,18 @@ ENGLISH_LINES = {
 ENGLISH_LINE_OF = {w: k for k, v in ENGLISH_LINES.items() for w in (k, *v.split())}
 # Nicknames of given names.
 NICKNAMES = {
-    "alexandra": "sandra alex lexi", "anthony": "tony", "charlotte": "lottie charlie", "dorothy": "dot dottie dolly", "edward": "ted ed eddie ned", "elizabeth": "liz beth betty lizzie eliza",
+    "alexandra": "sandra alex lexi", "alexander": "alex sandy xander", "patrick": "pat paddy", "anthony": "tony", "charlotte": "lottie charlie", "dorothy": "dot dottie dolly", "edward": "ted ed eddie ned", "elizabeth": "liz beth betty lizzie eliza",
     "frederick": "fred freddie", "joseph": "joe joey", "katherine": "kate kathy katie kit", "margaret": "peggy maggie meg greta", "michael": "mick mike mickey", "patricia": "trish pat patty tricia",
     "rebecca": "becky becca", "richard": "dick rick rich richie", "robert": "bob rob bobby robbie bert", "susannah": "sue susan susie", "theodore": "theo teddy", "thomas": "tom tommy",
     "william": "bill will billy willy", "james": "jim jimmy jamie", "john": "jack johnny", "henry": "harry hank", "charles": "charlie chuck", "francis": "frank", "george": "georgie", "andrew": "andy drew",
     "nicholas": "nick", "samuel": "sam", "daniel": "dan danny", "matthew": "matt", "christopher": "chris kit", "benjamin": "ben", "stephen": "steve", "catherine": "cathy cate", "victoria": "vicky tori",
     "jennifer": "jenny jen", "barbara": "barb babs", "deborah": "deb debbie", "judith": "judy", "eleanor": "nell ellie nora", "abigail": "abby", "josephine": "josie jo", "philip": "phil", "walter": "wally walt",
 }
-GIVEN_OF: dict[str, str] = {}
+#: Every full name a given name may stand for.
+GIVEN_OF: dict[str, tuple[str, ...]] = {}
 for _full, _short in NICKNAMES.items():
-    GIVEN_OF[_full] = _full
-    for _w in _short.split():
-        GIVEN_OF.setdefault(_w, _full)
+    for _w in (_full, *_short.split()):
+        GIVEN_OF[_w] = tuple(dict.fromkeys((*GIVEN_OF.get(_w, ()), _full)))
 # Compound surnames.
 COMPOUND = set("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 司徒 司空 令狐 宇文 长孙 闻人 澹台 濮阳 淳于 申屠 太叔 钟离 轩辕 夏侯 端木 百里 呼延 南宫 第五 梁丘 西门 闾丘 独孤 公羊 赫连 鲜于 拓跋 东郭 宗政 左丘".split())
 ROLE = re.compile(r"^(?:甲方|乙方|丙方|丁方|出卖人|买受人|出让方|受让方|转让方|出租方|承租方|出租人|承租人|委托方|受托方|单位名称|公司名称|单位|名称|公司|姓名|买方|卖方|供方|需方|投保人|被保险人|受让人|转让人|经办人|代理人)\s*[:：\s]\s*")
@@ -148,12 +149,14 @@ def english(text: str) -> tuple[str, str, str, str] | None:
     if words[-1] in GIVEN_OF and words[0] not in GIVEN_OF and len(words[0]) > 1:
         words = [words[-1], *words[1:-1], words[0]]
     first = words[0]
-    given = GIVEN_OF.get(first, first) if len(first) > 1 else ""
-    return ("n", words[-1], given, (given or first)[0])
+    if len(first) < 2:
+        return ("n", words[-1], "", first)
+    return ("n", words[-1], "|".join(GIVEN_OF.get(first, (first,))), first[0])
 
 
 def parse(name: str) -> tuple[str, str, str, str]:
-    """(kind, main part, detail, city or initial); kind '' for a name without letters."""
+    """(kind, main part, detail, city or initial); kind '' for a name without letters.  A detail of several readings has
+    them all, with '|' between."""
     text = bare(name)
     if HAN.search(text):
         parts = TITLE.sub("", text).split()
@@ -175,7 +178,8 @@ def one_edit_forms(kind: str, main: str) -> list[str]:
     """Forms that mains one edit apart share.
 
     A Chinese stem with one place open ('?') meets stems of another character there; a Latin one with two neighbours
-    in alphabetical order ('{}') meets those with the two swapped.  '~' forms, the main itself and the main with one
+    in alphabetical order ('{}') meets those with the two swapped, one with a place open ('~…?…') those of another letter
+    there.  The other '~' forms, the main itself and the main with one
     place left out, meet where one main is the other with a place more; two mains that are both longer than what they
     share are two edits apart and must not meet there (``is_self`` tells)."""
     out = [main, "~" + main]
@@ -185,6 +189,7 @@ def one_edit_forms(kind: str, main: str) -> list[str]:
             out += [f"{main[:i]}?{main[i + 1 :]}" for i in range(len(main))]
         else:
             out += [f"{main[:i]}{{{''.join(sorted(main[i : i + 2]))}}}{main[i + 2 :]}" for i in range(len(main) - 1)]
+            out += [f"~{main[:i]}?{main[i + 1 :]}" for i in range(len(main))]
     return list(dict.fromkeys(out))
 
 
@@ -199,24 +204,34 @@ def link_names(names: DataFrame) -> DataFrame:
     Keys complete in both parts are merged into the best supported key of the same detail that shares a one-edit
     form; incomplete keys (a stem alone, an initial) join the only complete key they fit, or each other if none."""
     known = materialise(names.select("name", "n", parsed("name").alias("k")).select("name", "n", "k.*").where("kind <> ''"), "names")
-    full = known.where("detail <> ''").groupBy("kind", "main", "detail").agg(F.sum("n").alias("support"), F.mode(F.when(F.col("extra") != "", F.col("extra"))).alias("extra"))
+    several = F.col("detail").contains("|")
+    readings = known.where("detail <> ''").select("kind", "main", F.explode(F.split("detail", "[|]")).alias("detail"), "extra", F.when(several, 0).otherwise(F.col("n")).alias("n"))
+    # The commonest city or initial of a key, the smaller of equally common ones.
+    extras = readings.groupBy("kind", "main", "detail", "extra").agg(F.sum("n").alias("n"))
+    usual = F.min(F.when(F.col("extra") != "", F.struct(-F.col("n"), "extra")))["extra"]
+    full = extras.groupBy("kind", "main", "detail").agg(F.sum("n").alias("support"), usual.alias("extra"))
     forms = full.select("*", F.explode(edit_forms("kind", "main")).alias("form"))
     rank = F.struct("support", "main")
     is_self = F.col("form") == F.concat(F.lit("~"), "main")
     best = forms.groupBy("kind", "detail", "form").agg(F.max(rank).alias("every"), F.max(F.when(is_self, rank)).alias("spelt"))
     # Of a '~' form a longer main can only join the main it spells, and that one the best of the longer ones; one place
-    # more or less is common between names of their own, so the root must also have several times the support.
-    other = F.when(is_self, F.col("every")).otherwise(F.col("spelt"))
+    # more or less, or another letter, is common between names of their own: the root must have several times the support.
+    other = F.when(is_self | F.col("form").contains("?"), F.col("every")).otherwise(F.col("spelt"))
     top = F.when(~F.col("form").startswith("~"), F.col("every")).when(other["support"] >= 3 * F.col("support"), other)
-    roots = forms.join(best, ["kind", "detail", "form"]).withColumn("top", top).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.first("extra").alias("extra"))
-    roots = roots.select("kind", "main", "detail", F.col("top.main").alias("root"), "extra")
+    roots = forms.join(best, ["kind", "detail", "form"]).withColumn("top", top).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.min("extra").alias("extra"))
+    roots = roots.select("kind", "main", "detail", F.col("top.main").alias("root"), F.col("top.support").alias("support"), "extra")
     # A root may itself lead to a better one: follow once more, so that chains of two spellings end in one root.
-    again = roots.select("kind", F.col("main").alias("root"), "detail", F.col("root").alias("root2"))
-    roots = materialise(roots.join(again, ["kind", "root", "detail"]).select("kind", "main", "detail", F.col("root2").alias("root"), "extra"), "roots")
-    complete = known.where("detail <> ''").join(roots.drop("extra"), ["kind", "main", "detail"]).select("name", F.concat_ws("|", "kind", "root", "detail").alias("entity"))
+    again = roots.select("kind", F.col("main").alias("root"), "detail", F.col("root").alias("root2"), F.col("support").alias("support2"))
+    roots = materialise(roots.join(again, ["kind", "root", "detail"]).select("kind", "main", "detail", F.col("root2").alias("root"), F.col("support2").alias("support"), "extra"), "roots")
+    # A name of one reading is its root's; one of several is scored by rarity: one over the entities that its readings fit.
+    read = known.where("detail <> ''").select("name", "kind", "main", F.explode(F.split("detail", "[|]")).alias("detail"), F.col("detail").alias("readings"))
+    read = read.join(roots.drop("extra"), ["kind", "main", "detail"]).select("name", F.concat_ws("|", "kind", "root", "detail").alias("entity"), "support", F.concat_ws("|", "kind", "root", F.lit("?"), "readings").alias("own"))
+    fits = F.when(F.col("support") > 0, F.col("entity"))
+    complete = read.groupBy("name").agg(F.min(fits).alias("one"), F.max(fits).alias("other"), F.count(fits).alias("fit"), F.min("own").alias("own")).withColumn("rarity", 1 / F.col("fit"))
+    complete = complete.select("name", F.when((F.col("rarity") == 1) | (F.col("one") == F.col("other")), F.col("one")).otherwise(F.col("own")).alias("entity"))
 
     part = known.where("detail = ''")
-    ends = roots.select("kind", "main", "root", "detail", F.when(F.col("kind") == "n", F.substring("detail", 1, 1)).otherwise(F.coalesce("extra", F.lit(""))).alias("extra"))
+    ends = roots.where("support > 0").select("kind", "main", "root", "detail", F.when(F.col("kind") == "n", F.substring("detail", 1, 1)).otherwise(F.coalesce("extra", F.lit(""))).alias("extra"))
     named = F.concat_ws("|", "kind", "root", "detail")
     keys = ends.select("kind", "main", F.explode(F.array_distinct(F.array("extra", F.lit("")))).alias("extra"), named.alias("entity"))
     keys = keys.groupBy("kind", "main", "extra").agg(F.min("entity").alias("entity"), F.max("entity").alias("other"))

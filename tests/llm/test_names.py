@@ -50,3 +50,27 @@ def test_two_edits_do_not_link(spark):
 def test_empty(spark):
     assert entities(spark, {"丁屏薇": 1}) == {"丁屏薇": "p|丁屏薇|-"}
     assert N.link_names(spark.createDataFrame([], "name string, n bigint").withColumn("n", F.col("n"))).count() == 0
+
+
+def test_nicknames_of_several_names(spark):
+    rows = entities(spark, dict([
+        ("Charles Brown", 3), ("Charlie Brown", 1), ("Christopher Moore", 2), ("Kit Moore", 1), ("Patrick Lee", 2), ("Pat Lee", 1), ("Alexander Reed", 2), ("Alex Reed", 1), ("Reed, Alex", 1),
+        ("Charlotte Hill", 2), ("Charles Hill", 2), ("Charlie Hill", 1), ("Charlie Stone", 1), ("Stone, Charlie", 1), ("Patricia Reed", 1), ("Chuck Stonely", 1), ("Robert Lee", 1),
+    ]))
+    for a, b in (("Charles Brown", "Charlie Brown"), ("Christopher Moore", "Kit Moore"), ("Patrick Lee", "Pat Lee"), ("Alexander Reed", "Alex Reed"), ("Alex Reed", "Reed, Alex"), ("Charlie Stone", "Stone, Charlie")):
+        assert rows[a] == rows[b]
+    # A nickname that fits two people of the surname links to neither; other people stay apart.
+    assert len({rows[n] for n in ("Charlotte Hill", "Charles Hill", "Charlie Hill")}) == 3
+    assert len({rows[n] for n in ("Alexander Reed", "Patricia Reed", "Patrick Lee", "Robert Lee", "Charles Brown", "Charlie Stone", "Chuck Stonely")}) == 7
+
+
+def test_another_letter_needs_support(spark):
+    rows = entities(spark, dict([("Robert Haljordanhoe", 9), ("Robert Haljordunhoe", 1), ("Robert Tobilkwenras", 2), ("Robert Tobilkwanras", 2)]))
+    assert rows["Robert Haljordanhoe"] == rows["Robert Haljordunhoe"] and rows["Robert Tobilkwenras"] != rows["Robert Tobilkwanras"]
+
+
+def test_partitions_change_nothing(spark):
+    counted = [(f"{g} {s}", 1 + k % 3) for k, (g, s) in enumerate([(g, s) for g in ("Bob", "Robert", "Kit", "Kate", "Charlie") for s in ("Marlowe", "Marlow", "Haljordan", "Haljordon")])] + [("岫云环保设备有限公司", 2), ("砚城岫云环保", 2), ("（枫泠）岫云环保设备有限公司", 2)]
+    df = spark.createDataFrame(counted, "name string, n long")
+    whole = sorted(map(tuple, N.link_names(df.coalesce(1)).collect()))
+    assert whole == sorted(map(tuple, N.link_names(df.repartition(7)).collect())) == sorted(map(tuple, N.link_names(df.orderBy(F.desc("name")).repartition(3, "n")).collect()))
