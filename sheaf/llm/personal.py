@@ -110,6 +110,10 @@ PLACE = re.compile(r"^[\u200b-\u200f\u2060\ufeff\xad]*(?:某|[路街巷苑府湾
 AGAINST = re.compile(r"(?:账号|账户|订单号?|单号|流水号|发票号码|发票号|合同编号|编号|回执|receipt|ref|reference|代码：?|invoice|order|account|account no\.?|quoting|票号|版本)\s*[：:#]?\s*$")
 
 
+#: The last characters of what AGAINST and the cues of Chinese names match: others need no look.
+LAST_OF_CUES = frozenset("号户单执码本名主人字章办：:#)） \u3000") | frozenset("tfecrgn.")
+
+
 def reduce_item(text: str) -> str:
     return re.sub("[^A-Za-z0-9一-鿿]", "", text).lower()
 
@@ -214,6 +218,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 #: Places of the table of each role; characters have a place of their own, words and surnames a hashed one.
 PLACES = 1 << 16
+NOWHERE = [0] * 6  # place 0 stands for none
 ROLES = ("given", "before", "after", "surname", "first", "last", "word before", "word after")
 
 
@@ -254,9 +259,11 @@ def chinese_names(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
             if not (left or ends or next_ in _AFTER):
                 continue
             if cue is None:
-                context = unbroken(text[max(0, a - 24) : a])[-14:]
-                counter = -1 if AGAINST.search(context) else 0
-                cue = 1 if not counter and CUES["name_zh"].search(context) else 0
+                counter = cue = 0
+                if before in LAST_OF_CUES:
+                    context = unbroken(text[max(0, a - 24) : a])[-14:]
+                    counter = -1 if AGAINST.search(context) else 0
+                    cue = 1 if not counter and CUES["name_zh"].search(context) else 0
             size = first + n
             end = a + size
             while end - a - text.count("\n", a, end) < size:
@@ -265,7 +272,7 @@ def chinese_names(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
             place = -1 if PLACE.match(after) or COMPANY.match(after) or "某" in given or next_ == "*" else 0
             titled = 1 if TITLED.search(after) else 0
             votes = [1 if n == 2 or first == 2 else 0, 0, cue, titled, counter, place, 0]
-            places = [*(place_of("given", c) for c in given), place_of("given", next_), place_of("before", "." if close else before), place_of("after", "." if ends else next_), place_of("surname", run[:first])]
+            places = [place_of("given", given[0]), place_of("given", given[1]) if n == 2 else 0, place_of("given", next_), place_of("before", "." if close else before), place_of("after", "." if ends else next_), place_of("surname", run[:first])]
             out.append(("name_zh", a, end, run[:size], votes, places, [size / 40, 0.0, 1.0, broken / (end - a)]))
     return out
 
@@ -283,16 +290,16 @@ def latin_names(text: str, taken: list[tuple[int, int]]) -> list[tuple]:
         left = re.search(r"([A-Za-z]+|\S|^)\s*$", text[max(0, a - 16) : a])
         right = re.match(r"\s*([A-Za-z]+|\S|$)", text[b : b + 16])
         votes = votes_of("name_en", m.group(), unbroken(text[max(0, a - 24) : a])[-14:], unbroken(text[b : b + 20])[:12])
-        places = [place_of("first", words[0]), place_of("last", words[-1]), place_of("word before", left.group(1)[-12:] if left else ""), place_of("word after", right.group(1)[:12] if right else "")]
+        places = [place_of("first", words[0]), place_of("last", words[-1]), place_of("word before", left.group(1)[-12:] if left else ""), place_of("word after", right.group(1)[:12] if right else ""), 0, 0]
         out.append(("name_en", a, b, reduce_item(m.group()), votes, places, shape_of(m.group())))
     return out
 
 
 SINGLE, _BEFORE, _AFTER = frozenset(SURNAMES), frozenset(BEFORE_NAME), frozenset(AFTER_NAME)
-SPANS = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("item", pa.string()), ("votes", pa.string()), ("places", pa.list_(pa.int32())), ("shape", pa.list_(pa.float32()))]))
-SPANS_VOTED = pa.list_(pa.struct([f for f in SPANS.value_type if f.name != "places"]))
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("item", pa.string()), ("votes", pa.list_(pa.int8())), ("places", pa.list_(pa.int32())), ("shape", pa.list_(pa.float32()))]))
+SPANS_VOTED = pa.list_(pa.struct([*list(SPANS.value_type)[:4], ("votes", pa.int32()), ("shape", pa.list_(pa.float32()))]))
 SPANS_ACCEPTED = pa.list_(pa.struct(list(SPANS.value_type)[:4]))
-VOTED = "array<struct<kind:string,a:int,b:int,item:string,votes:string,shape:array<float>>>"
+VOTED = "array<struct<kind:string,a:int,b:int,item:string,votes:int,shape:array<float>>>"
 ACCEPTED = "array<struct<kind:string,a:int,b:int,item:string>>"
 
 
@@ -305,12 +312,18 @@ def listed(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields))
 
 
-def unlisted(column: pa.ListArray) -> list[list[tuple]]:
-    """The inverse of ``listed``."""
-    flat = column.flatten()
-    rows = list(zip(*(f.to_pylist() for f in flat.flatten())))
-    ends = np.cumsum([n or 0 for n in pc.list_value_length(column).to_pylist()]).tolist()
-    return [rows[x:y] for x, y in zip([0, *ends], ends)]
+def ends_of(column: pa.ListArray) -> np.ndarray:
+    """Where each row's part of the flattened column ends."""
+    return np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+
+
+def as_list(flat: pa.StructArray, rows: np.ndarray, keep: np.ndarray, columns: dict, kind: pa.ListType, n: int) -> pa.ListArray:
+    """The kept spans (indices, ordered by row) with some columns replaced, as lists by row."""
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(rows[keep], minlength=n), out=offsets[1:])
+    fields = list(kind.value_type)
+    arrays = [columns[f.name] if f.name in columns else flat.field(f.name).take(pa.array(keep)) for f in fields]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, fields)], fields=fields))
 
 
 def propose(texts: list[str]) -> list[list[tuple]]:
@@ -326,10 +339,10 @@ def propose(texts: list[str]) -> list[list[tuple]]:
         rows = []
         for kind, a, b in found:
             span = t[a:b]
-            rows.append((kind, a, b, reduce_item(span), votes_of(kind, span, unbroken(t[max(0, a - 24) : a])[-14:], unbroken(t[b : b + 20])[:12]), [], shape_of(span)))
+            rows.append((kind, a, b, reduce_item(span), votes_of(kind, span, unbroken(t[max(0, a - 24) : a])[-14:], unbroken(t[b : b + 20])[:12]), NOWHERE, shape_of(span)))
         taken = sorted((a, b) for _, a, b in found)
         rows += chinese_names(t, taken) + latin_names(t, taken)
-        memo[t] = [(*r[:4], ",".join(map(str, r[4])), *r[5:]) for r in rows]
+        memo[t] = rows
         out.append(memo[t])
     return out
 
@@ -338,7 +351,7 @@ def proposed(text: Column | str) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return listed(propose(texts.to_pylist()), SPANS)
 
-    return F.arrow_udf(run, "array<struct<kind:string,a:int,b:int,item:string,votes:string,places:array<int>,shape:array<float>>>").asNondeterministic()(text)  # run once, not again in a filter
+    return F.arrow_udf(run, "array<struct<kind:string,a:int,b:int,item:string,votes:array<tinyint>,places:array<int>,shape:array<float>>>").asNondeterministic()(text)  # run once, not again in a filter
 
 
 def shape_of(span: str) -> list[float]:
@@ -354,58 +367,85 @@ def log_odds(seen: dict[int, tuple[int, int]]) -> dict[int, float]:
     return {p: math.log((k + 1) / (n + 1 / share) / share) for p, (n, k) in seen.items()}
 
 
-def contended(rows: list[tuple]) -> list[tuple]:
-    """Of names that overlap, the one with the better votes, then the longer: what a place can hold but once counts once."""
-    kept, last = [], (-1, -1)
-    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
-    for r in ordered:
-        if kept and r[1] < last[1] and r[0].startswith("name") and kept[-1][0].startswith("name"):
-            if (r[-1], r[2] - r[1]) > (kept[-1][-1], kept[-1][2] - kept[-1][1]):
-                kept[-1] = r
-        else:
-            kept.append(r)
-        last = kept[-1][1:3]
-    return [r[:-1] for r in kept]
+def contended(row: list[int], start: list[int], end: list[int], name: list[bool], sums: list[int]) -> list[int]:
+    """Of names that overlap, the one with the better votes, then the longer: what a place can hold but once counts once.
 
+    All lists are ordered by row and start; returns the indices that stay."""
+    kept: list[int] = []
+    for i in range(len(row)):
+        if kept and name[i]:
+            k = kept[-1]
+            if name[k] and row[k] == row[i] and start[i] < end[k]:
+                if (sums[i], end[i] - start[i]) > (sums[k], end[k] - start[k]):
+                    kept[-1] = i
+                continue
+        kept.append(i)
+    return kept
+
+
+def learned_votes(zh: np.ndarray, name: np.ndarray, votes: np.ndarray, odds: np.ndarray, margin: float = 0.7) -> np.ndarray:
+    """Votes (n x labelers) of spans with what the counts say: ``odds`` (n x 6) of a name's characters or words and of what
+    stands beside it; other spans' votes stay."""
+    one, two, next_, left, right, surname = odds.T
+    single = zh & (two == 0)
+    least = np.where(single, one, np.minimum(one, two))
+    made = np.where(least < 0, least, np.where(single, one, (one + two) / 2) + np.minimum(0, surname) / 2)
+    made = np.where(zh, made, one + np.minimum(0, two))
+    left, right = np.where(zh, left, next_), np.where(zh, right, left)
+    on = single & (next_ > margin)  # the given name goes on
+    sign = lambda x: (x > margin).astype(np.int8) - (x < -margin)
+    votes = votes.copy()
+    votes[name, 6] = sign(made)[name]
+    votes[name, 2] = np.where(votes[:, 2] != 0, votes[:, 2], sign(left))[name]
+    votes[name, 3] = np.where(on, -1, np.where(votes[:, 3] != 0, votes[:, 3], sign(right)))[name]
+    return votes
 
-def voted(odds: dict[int, float]):
-    """Proposed spans -> the same with the learned votes filled in, overlapping names contended."""
 
-    def run(columns: pa.Array) -> pa.Array:
-        out = []
-        for spans in unlisted(columns):
-            rows = []
-            for kind, a, b, item, votes, places, shape in spans:
-                v = list(map(int, votes.split(",")))
-                if places:
-                    v = learned_votes(kind, v, [odds.get(p, 0.0) for p in places])
-                    votes = ",".join(map(str, v))
-                rows.append((kind, a, b, item, votes, shape, sum(v)))
-            out.append(contended(rows))
-        return listed(out, SPANS_VOTED)
+POWERS = 3 ** np.arange(len(LABELERS))
 
-    return F.arrow_udf(run, VOTED)
 
+def pattern(votes: np.ndarray) -> np.ndarray:
+    """Votes as one number a span."""
+    return ((votes.astype(np.int64) + 1) * POWERS).sum(1)
 
-def sign(x: float, margin: float = 0.7) -> int:
-    return 1 if x > margin else -1 if x < -margin else 0
 
+def unpattern(n: int) -> str:
+    return ",".join(str(n // int(p) % 3 - 1) for p in POWERS)
 
-def learned_votes(kind: str, votes: list[int], odds: list[float]) -> list[int]:
-    """Votes of a name with what the counts say of its characters or words and of what stands beside it."""
-    if kind == "name_zh":
-        *given, next_, left, right, surname = odds
-        made = min(given) if min(given) < 0 else sum(given) / len(given) + min(0.0, surname) / 2
-        if len(given) == 1 and next_ > 0.7:
-            right, votes = -9.0, [*votes[:3], 0, *votes[4:]]  # the given name goes on
-    else:
-        first, last, left, right = odds
-        made = first + min(0.0, last)
-    votes = list(votes)
-    votes[6] = sign(made)
-    votes[2] = votes[2] or sign(left)
-    votes[3] = votes[3] or sign(right)
-    return votes
+
+def recounted(flat: pa.StructArray, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a Chinese name, whether a name, votes) of spans with the learned votes filled in."""
+    kinds = flat.field("kind")
+    zh = pc.equal(kinds, "name_zh").to_numpy(zero_copy_only=False)
+    name = zh | pc.equal(kinds, "name_en").to_numpy(zero_copy_only=False)
+    votes = flat.field("votes").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(LABELERS))
+    places = flat.field("places").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NOWHERE))
+    return zh, name, learned_votes(zh, name, votes, table_[places])
+
+
+def table_of(odds: dict[int, float]) -> np.ndarray:
+    out = np.zeros(len(ROLES) * PLACES, np.float32)
+    for p, x in odds.items():
+        out[p] = x if p else 0.0
+    return out
+
+
+def voted(odds: dict[int, float]):
+    """Proposed spans -> the same with the learned votes filled in, overlapping names contended."""
+    built: dict = {}
+
+    def run(column: pa.Array) -> pa.Array:
+        if not built:
+            built["t"] = table_of(odds)
+        flat = column.flatten()
+        row = np.searchsorted(ends_of(column), np.arange(len(flat)), "right")
+        a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
+        order = np.lexsort((b, a, row))
+        _, name, votes = recounted(flat, built["t"])
+        kept = order[contended(row[order].tolist(), a[order].tolist(), b[order].tolist(), name[order].tolist(), votes[order].sum(1).tolist())]
+        return as_list(flat, row, kept, {"votes": pa.array(pattern(votes)[kept])}, SPANS_VOTED, len(column))
+
+    return F.arrow_udf(run, VOTED)
 
 
 def estimate(counts: list[tuple[str, str, int]], rounds: int = 30) -> tuple[dict, dict]:
@@ -469,23 +509,31 @@ def train(sample: list[tuple[str, str, list[float]]], reliability: dict, posteri
 def decide(w: list[float]):
     """Spans with votes -> accepted spans without overlaps, by kind and then by how sure they are."""
 
-    def run(columns: pa.Array) -> pa.Array:
-        weights, memo, out = np.array(w), {}, []
-        for spans in unlisted(columns):
-            good = []
-            for kind, a, b, item, votes, shape in spans:
-                key = (kind, votes, *shape)
-                if key not in memo:
-                    memo[key] = float(np.dot(features(kind, votes, shape), weights))
-                if memo[key] > 0:
-                    kind = kind.removesuffix("_zh").removesuffix("_en")
-                    good.append((KINDS.index(kind), -round(memo[key], 6), a, -b, kind, item))
-            kept: list[tuple] = []
-            for _, _, a, b, kind, item in sorted(good):
-                if all(-b <= x[1] or a >= x[2] for x in kept):
-                    kept.append((kind, a, -b, item))
-            out.append(sorted(kept, key=lambda s: s[1]))
-        return listed(out, SPANS_ACCEPTED)
+    def run(column: pa.Array) -> pa.Array:
+        weights, flat = np.array(w), column.flatten()
+        row = np.searchsorted(ends_of(column), np.arange(len(flat)), "right")
+        kinds = flat.field("kind").to_pylist()
+        group = np.array([GROUPS.index(k) for k in kinds], np.int64)
+        codes, which = np.unique(group * 3 ** len(LABELERS) + flat.field("votes").to_numpy(), return_inverse=True)
+        known = np.array([np.dot(features(GROUPS[c // 3 ** len(LABELERS)], unpattern(c % 3 ** len(LABELERS)), [0.0] * 4), weights) for c in codes.tolist()])
+        shapes = flat.field("shape").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+        score = (known[which] if len(codes) else np.zeros(0)) + shapes @ weights[-5:-1]
+        a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
+        rank = np.minimum(group, KINDS.index("name"))
+        good = np.flatnonzero(score > 0)
+        good = good[np.lexsort((-b[good], a[good], -np.round(score[good], 6), rank[good], row[good]))]
+        kept: list[int] = []
+        mine: list[tuple[int, int]] = []
+        at = -1
+        for i, r, x, y in zip(good.tolist(), row[good].tolist(), a[good].tolist(), b[good].tolist()):
+            if r != at:
+                at, mine = r, []
+            if all(y <= p or x >= q for p, q in mine):
+                mine.append((x, y))
+                kept.append(i)
+        keep = np.array(kept, np.int64)
+        keep = keep[np.lexsort((a[keep], row[keep]))]
+        return as_list(flat, row, keep, {"kind": pa.array([kinds[i].removesuffix("_zh").removesuffix("_en") for i in keep.tolist()], pa.string())}, SPANS_ACCEPTED, len(column))
 
     return F.arrow_udf(run, ACCEPTED)
 
@@ -496,13 +544,13 @@ def learned(held: DataFrame) -> dict[int, float]:
     First the parts of names are counted in spans that a role word introduces and a sign or title ends, against all spans;
     then what stands beside names in spans made of such parts.  At most ``PLACES`` rows a role come to the driver."""
     spans = held.select(F.explode(F.filter("proposed", lambda s: s["kind"].startswith("name"))).alias("s")).select("s.kind", "s.votes", "s.places")
-    zh = F.col("kind") == "name_zh"
-    parts = F.when(zh, F.concat(F.slice("places", 1, F.size("places") - 4), F.slice("places", -1, 1))).otherwise(F.slice("places", 1, 2))
-    beside = F.when(zh, F.slice("places", -3, 2)).otherwise(F.slice("places", 3, 2))
-    seed = F.col("votes").rlike("^-?[01],-?[01],1,1,0,0,")
+    zh, at = F.col("kind") == "name_zh", lambda *k: F.array(*[F.col("places")[i] for i in k])
+    parts, beside = F.when(zh, at(0, 1, 5)).otherwise(at(0, 1)), F.when(zh, at(3, 4)).otherwise(at(2, 3))
+    vote = lambda k: F.col("votes")[k]
+    seed = (vote(2) > 0) & (vote(3) > 0) & (vote(4) == 0) & (vote(5) == 0)
 
     def odds(of: Column, chosen: Column) -> dict[int, float]:
-        counted = spans.select("kind", chosen.alias("chosen"), F.explode(of).alias("place")).groupBy("kind", "place").agg(F.count("*").alias("n"), F.count_if("chosen").alias("k"))
+        counted = spans.select("kind", chosen.alias("chosen"), F.explode(of).alias("place")).where("place <> 0").groupBy("kind", "place").agg(F.count("*").alias("n"), F.count_if("chosen").alias("k"))
         by = defaultdict(dict)
         for r in counted.collect():  # at most PLACES a role
             by[r.kind][r.place] = (r.n, r.k)
@@ -514,11 +562,13 @@ def learned(held: DataFrame) -> dict[int, float]:
 
 def made_of(odds: dict[int, float]):
     """Whether a span is made of what names are made of, and ends where the given name does."""
+    built: dict = {}
 
     def run(kinds: pa.Array, votes: pa.Array, places: pa.Array) -> pa.Array:
-        rows = zip(kinds.to_pylist(), votes.to_pylist(), places.to_pylist())
-        votes_ = (learned_votes(k, list(map(int, v.split(","))), [odds.get(p, 0.0) for p in ps]) for k, v, ps in rows)
-        return pa.array([v[6] > 0 and v[3] >= 0 for v in votes_], pa.bool_())
+        if not built:
+            built["t"] = table_of(odds)
+        _, _, v = recounted(pa.StructArray.from_arrays([kinds, votes, places], names=["kind", "votes", "places"]), built["t"])
+        return pa.array((v[:, 6] > 0) & (v[:, 3] >= 0))
 
     return F.arrow_udf(run, "boolean")
 
@@ -531,12 +581,12 @@ def find_personal(rows: DataFrame, text: str = "text", sample_spans: int = 20_00
     held = materialise(spread(rows).withColumn("proposed", proposed(text)).where("size(proposed) > 0").select(*kept, "proposed"), "spans")
     held = materialise(held.withColumn("proposed", voted(learned(held))("proposed")), "votes")
     each = held.select(F.explode("proposed").alias("s")).select("s.kind", "s.votes", "s.shape", "s.item")
-    counts = [tuple(r) for r in each.groupBy("kind", "votes").count().collect()]  # bounded: 3 votes, 7 labelers, 6 kinds
+    counts = [(r[0], unpattern(r[1]), r[2]) for r in each.groupBy("kind", "votes").count().collect()]  # bounded: 3 votes, 7 labelers, 6 kinds
     if not counts:
         return held.select(*kept, F.lit(None).cast(ACCEPTED).alias("spans")).limit(0)
     reliability, posterior = estimate(counts)
     sample = each.orderBy(F.xxhash64("item", "votes"), "item", "votes").limit(sample_spans).select("kind", "votes", "shape").collect()
-    w = train([(r.kind, r.votes, list(r.shape)) for r in sample], reliability, posterior)
+    w = train([(r.kind, unpattern(r.votes), list(r.shape)) for r in sample], reliability, posterior)
     return held.withColumn("spans", decide(w.tolist())("proposed")).select(*kept, "spans")
 
 
