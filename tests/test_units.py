@@ -13,7 +13,7 @@ def convert(text, unit=None):
     q = U.split_quantity(text, unit)
     if not q:
         return None
-    hit = q[1] if q[1] in REFS else (INDEX.nearest(q[1]) or (0, None))[1]
+    hit = q[1] if q[1] in REFS else (INDEX.nearest(q[1], meaning=lambda r: REFS[r][:2]) or (0, None))[1]
     if hit is None:
         return None
     common, factor, plain = REFS[hit]
@@ -75,3 +75,31 @@ def test_frame(spark):
         got = {(r.row_id, r.common_unit, r.common_e4) for r in U.convert(rows, fx, limit).collect()}
         assert got == {(1, "元", 150000000), (3, "元/月", 15)}  # 0.5 x 365/12 = 15.2
     assert U.convert(rows.limit(0), fx).count() == 0
+
+
+@pytest.mark.parametrize("spelling, reference", [("#元/平方木/月", ("元/月·㎡", 1)), ("#万圆正", ("元", 10_000)), ("#milionyuan", ("元", 10**6)), ("#eruo", ("元", 8)), ("#元/平万米", ("元/㎡", 1)), ("#元/公斤/月", None), ("#百万元/月", None), ("#元/吨/月", None), ("#里程", None), ("#元/斤", None)])
+def test_misspelt_units(spelling, reference):
+    """One character or swap in a longer spelling; what fits several units, or is another kind's unit, stays unmapped."""
+    refs = U.references({**FX, "EUR": "8"})
+    hit = U.SpellingIndex(list(refs)).nearest(spelling, meaning=lambda r: refs[r][:2])
+    assert (refs[hit[1]][:2] if hit else None) == reference
+
+
+def test_index_equals_brute_force():
+    refs = U.references(FX)
+    some = sorted(refs)[::97]
+    index = U.SpellingIndex(some, common=200)
+    for text in [s[:k] + c + s[k + 1 :] for s in some[::23] for k in (1, len(s) // 2) for c in ("每", "木", "")]:
+        near = sorted((U.weighted_distance(text, s, 1.75), len(s), s) for s in some)
+        d, _, s = near[0]
+        hit = index.nearest(text)
+        if d <= 0.75:
+            assert hit == (d, s)
+        elif hit:
+            assert hit[0] == d and index.allowed(text)
+
+
+def test_several_quantities_in_a_text():
+    assert [(n, s) for n, s, _ in U.split_quantities("合同价300元，押金600元", None)] == [("300", "合同价#元"), ("600", "押金#元")]
+    assert [n for n, _, _ in U.split_quantities("人民币伍佰元整（¥1,500.00）", None)] == ["1500"]
+    assert U.split_quantities(None, "元") == [] and U.split_quantities("", None) == []
