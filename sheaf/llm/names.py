@@ -227,7 +227,7 @@ def link_names(names: DataFrame) -> DataFrame:
     read = known.where("detail <> ''").select("name", "kind", "main", F.explode(F.split("detail", "[|]")).alias("detail"), F.col("detail").alias("readings"))
     read = read.join(roots.drop("extra"), ["kind", "main", "detail"]).select("name", F.concat_ws("|", "kind", "root", "detail").alias("entity"), "support", F.concat_ws("|", "kind", "root", F.lit("?"), "readings").alias("own"))
     fits = F.when(F.col("support") > 0, F.col("entity"))
-    complete = read.groupBy("name").agg(F.min(fits).alias("one"), F.max(fits).alias("other"), F.count(fits).alias("fit"), F.min("own").alias("own")).withColumn("rarity", 1 / F.col("fit"))
+    complete = read.groupBy("name").agg(F.min(fits).alias("one"), F.max(fits).alias("other"), F.count(fits).alias("fit"), F.min("own").alias("own")).withColumn("rarity", F.when(F.col("fit") > 0, 1 / F.col("fit")))
     complete = complete.select("name", F.when((F.col("rarity") == 1) | (F.col("one") == F.col("other")), F.col("one")).otherwise(F.col("own")).alias("entity"))
 
     part = known.where("detail = ''")
