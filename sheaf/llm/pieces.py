@@ -1,9 +1,11 @@
 """Cutting oversized texts at natural boundaries by packing a structure tree.
 
-A text over the limit is parsed into a tree: sections under headings, paragraphs at blank lines, lines and list items,
-sentences, clauses, table cells or words, and last single pre-tokens.  Only oversized nodes are descended into; sibling
-subtrees are merged bottom-up while they fit, so every cut is at the highest boundary that the limit allows.  Each
-piece but the first begins with the last ``overlap`` tokens of the piece before.
+A text over the limit is parsed into a tree: sections under headings by their rank (number signs, 编 章 节 条 款, parts and
+clauses, depth of numbering), paragraphs at blank lines, list items by indentation, lines; below these sentences, clauses,
+table cells or words, and last single pre-tokens.  Only oversized nodes are descended into; sibling subtrees are merged
+while they fit, and what an oversized node was cut into is not merged across the node's ends unless it is a crumb (an
+eighth of the limit), so every cut is at the highest boundary that the limit allows.  Each piece but the first begins with
+the last ``overlap`` tokens of the piece before.
 
 Edge cases: null and empty texts and texts within the limit give no piece; a stretch without any pause is cut between
 characters; texts of any length are cut whole; repeated texts are cut alike under each of their ids.
@@ -11,6 +13,7 @@ characters; texts of any length are cut whole; repeated texts are cut alike unde
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,21 +25,53 @@ from pyspark.sql import functions as F
 from sheaf.llm.tokens import encoding
 from sheaf.sources.tables import spread, table
 
-HEADING = regex.compile(
-    r"^(?:#{1,6}\s|第[\d一二三四五六七八九十百]+[章节条款部分编]|[\p{Han}]{2,12}第[\d一二三四五六七八九十百]+[条款]|[一二三四五六七八九十]+、|\d+(?:\.\d+)*[.、)]\s|(?:Clause|Section|Article|Schedule|Chapter|Annex|Part|Appendix)\s+\w+|附[件表]).{0,60}$", regex.M
-)
-PLAIN_HEADING = regex.compile(r"^[^\n。.;；|，,]{2,24}$", regex.M)
-#: Boundaries from the highest to the lowest; each matches the text before a cut.
+_NUM = r"[\d一二三四五六七八九十百零〇]+"
+#: Headings and the rank of their sections; the first that matches a line holds.  A rank of None follows from the match.
+HEADINGS = (
+    (regex.compile(r"#{1,6}(?=\s)"), None),
+    (regex.compile(rf"第{_NUM}[编篇部]"), 7), (regex.compile(r"(?:Part|Book|Schedule|Annex|Appendix|Exhibit)\s+\w+\b.{0,60}$|附[件表录]"), 7),
+    (regex.compile(rf"第{_NUM}章|Chapter\s+\w+\b.{{0,60}}$"), 8), (regex.compile(rf"第{_NUM}(?:节|部分)|Section\s+\w+\b.{{0,60}}$"), 9),
+    (regex.compile(rf"(?:\p{{Han}}{{2,12}})?第{_NUM}条|(?:Article|Clause)\s+\w+\b.{{0,60}}$"), 10), (regex.compile(rf"(?:\p{{Han}}{{2,12}})?第{_NUM}款"), 11),
+    (regex.compile(r"[一二三四五六七八九十]+、"), 12), (regex.compile(r"[（(][一二三四五六七八九十]+[)）]"), 13),
+    (regex.compile(r"\d+(?:\.\d+)*(?=[.、)]\s|[.、)]?\s+\p{Lu}|、)"), None),
+)
+PLAIN_HEADING = regex.compile(r"[^\n。.;；|，,]{2,24}$")
+LIST_ITEM = regex.compile(r"(?:[-*•·]|\(?[a-z0-9]{1,3}\)|[①-⑳])\s")
+PLAIN, PARAGRAPH, ITEM, LINE = 30, 40, 41, 90
+#: Boundaries within a line from the highest to the lowest; each matches the text before a cut.
 LEVELS = (
-    ("heading", None),
-    ("paragraph", regex.compile(r"\n\s*\n+")),
-    ("line", regex.compile(r"\n+")),
     ("sentence", regex.compile(r"[。！？!?]+[”’」』)）]*\s*|(?<=[^\d\s])\.[”’\")]*\s+")),
     ("clause", regex.compile(r"[；;，,：:、]+\s*|\s\|\s*|\t")),
     ("word", regex.compile(r"\s+")),
 )
 
 
+def rank_of(line: str, indent: int, after_blank: bool) -> int:
+    """Rank of the node that begins with a line: the smaller, the higher in the tree."""
+    for pattern, rank in HEADINGS:
+        m = pattern.match(line)
+        if m and len(line) <= 100:
+            return rank if rank is not None else len(m.group()) if line[0] == "#" else 14 + m.group().count(".")
+    if after_blank:
+        return PLAIN if PLAIN_HEADING.match(line) and not indent else PARAGRAPH
+    if LIST_ITEM.match(line):
+        return min(ITEM + indent, LINE - 1)
+    return PLAIN + 1 if PLAIN_HEADING.match(line) and not indent else LINE
+
+
+def marks_of(text: str) -> list[tuple[int, int]]:
+    """(place, rank) of every line that begins a node of the structure tree."""
+    out, at, blank = [], 0, True
+    for line in text.split("\n"):
+        body = line.strip()
+        if body:
+            indent = len(line[: len(line) - len(line.lstrip())].expandtabs(4))
+            out.append((at, rank_of(body, indent, blank)))
+        blank = not body
+        at += len(line) + 1
+    return out
+
+
 @cache
 def pretoken():
     import public_tokenizers
@@ -66,8 +101,6 @@ class Ruler:
 
     def snap(self, place: int) -> int:
         """The nearest boundary between pre-tokens at or after a place in the text."""
-        import bisect
-
         return self.ends[min(bisect.bisect_left(self.ends, place), len(self.ends) - 1)]
 
     def size(self, a: int, b: int) -> int:
@@ -75,46 +108,58 @@ class Ruler:
 
 
 def cuts(text: str, a: int, b: int, level: int) -> list[int]:
-    """Places within [a, b) where the text may be cut at this level."""
-    if level == 0:
-        found = [m.start() for m in HEADING.finditer(text, a, b)]
-        found += [m.start() for m in PLAIN_HEADING.finditer(text, a, b) if text[max(0, m.start() - 1) : m.start()] == "\n" and m.group().strip()]
-        return sorted({p for p in found if a < p < b})
+    """Places within [a, b) where the text may be cut at this level of a line's inside."""
     return [m.end() for m in LEVELS[level][1].finditer(text, a, b) if a < m.end() < b]
 
 
-def pack(ruler: Ruler, a: int, b: int, limit: int, level: int = 0) -> list[tuple[int, int]]:
-    """Stretches of at most ``limit`` tokens that cover [a, b): children packed, then siblings merged bottom-up."""
+def children_of(ruler: Ruler, marks: list[tuple[int, int]], a: int, b: int) -> Iterator[list[int]]:
+    """Ever finer ways to cut [a, b): at the highest rank of the tree within it, then at ever lower boundaries."""
+    inside = [m for m in marks[bisect.bisect_right(marks, (a, LINE + 1)) : bisect.bisect_left(marks, (b, -1))]]
+    for rank in sorted({r for _, r in inside}):
+        yield [p for p, r in inside if r <= rank]
+    for level in range(len(LEVELS)):
+        yield cuts(ruler.text, a, b, level)
+
+
+def pack(ruler: Ruler, marks: list[tuple[int, int]], a: int, b: int, limit: int) -> list[tuple[int, int]]:
+    """Stretches of at most ``limit`` tokens that cover the node [a, b): its children, packed and merged bottom-up."""
     if ruler.size(a, b) <= limit:
         return [(a, b)]
-    if level < len(LEVELS):
-        edges = sorted({a, *(ruler.snap(p) for p in cuts(ruler.text, a, b, level)), b})
-        edges = [p for p in edges if a <= p <= b]
-        if len(edges) == 2:
-            return pack(ruler, a, b, limit, level + 1)
-        children = [p for x, y in zip(edges, edges[1:]) for p in pack(ruler, x, y, limit, level + 1)]
+    edges: list[int] = []
+    for places in children_of(ruler, marks, a, b):
+        edges = sorted({a, *(q for p in places for q in (ruler.snap(p),) if a < q < b), b})
+        if len(edges) > 2:
+            break
     else:
         k, end = ruler.at[a], ruler.at[b]
         if end - k == 1:
             return [(a, b)]
-        children = list(zip(ruler.ends[k:end], ruler.ends[k + 1 : end + 1]))
-    merged = [children[0]]
-    for x, y in children[1:]:
-        if ruler.size(merged[-1][0], y) <= limit:
-            merged[-1] = (merged[-1][0], y)
+        edges = ruler.ends[k : end + 1]
+    merged: list[tuple[int, int, bool]] = []  # from, to, whether whole children
+    for x, y in zip(edges, edges[1:]):
+        if ruler.size(x, y) <= limit:
+            parts = [(x, y, True)]
         else:
-            merged.append((x, y))
-    return merged
-
-
-def enough_first(ruler: Ruler, parts: list[tuple[int, int]], limit: int, least: int) -> list[tuple[int, int]]:
+            parts = [(p, q, False) for p, q in pack(ruler, marks, x, y, limit)]
+        for p, q, whole in parts:
+            if merged and ruler.size(merged[-1][0], q) <= limit:
+                first, last, before = merged[-1]
+                crumb = min(ruler.size(first, last), ruler.size(p, q)) < limit // 8
+                if (whole and before) or crumb:
+                    merged[-1] = (first, q, whole and before)
+                    continue
+            merged.append((p, q, whole))
+    return [(p, q) for p, q, _ in merged]
+
+
+def enough_first(ruler: Ruler, marks: list[tuple[int, int]], parts: list[tuple[int, int]], limit: int, least: int) -> list[tuple[int, int]]:
     """The same stretches, but the first one long enough to be shared from: it takes over from the second, cut at the
     highest boundary that leaves both within the limit, the most even one of a level."""
     if len(parts) < 2 or ruler.size(*parts[0]) >= least:
         return parts
     a, b = parts[0][0], parts[1][1]
-    for level in range(len(LEVELS) + 1):
-        places = {ruler.snap(p) for p in cuts(ruler.text, a, b, level)} if level < len(LEVELS) else set(ruler.ends[ruler.at[a] + 1 : ruler.at[b]])
+    for places in (*children_of(ruler, marks, a, b), ruler.ends[ruler.at[a] + 1 : ruler.at[b]]):
+        places = {ruler.snap(p) for p in places}
         fits = [(max(ruler.size(a, p), ruler.size(p, b)), p) for p in places if a < p < b and least <= ruler.size(a, p) <= limit and ruler.size(p, b) <= limit]
         if fits:
             p = min(fits)[1]
@@ -143,9 +188,9 @@ def split_text(text: str, limit: int = 3000, overlap: int = 200, path: str | Non
     ruler = Ruler(text, path, max(1, min(400, limit // 8)))
     if ruler.total <= limit:
         return []
-    room = limit - overlap
+    room, marks = limit - overlap, marks_of(text)
     while True:
-        parts = enough_first(ruler, pack(ruler, 0, len(text), room), room, min(overlap, room // 2))
+        parts = enough_first(ruler, marks, pack(ruler, marks, 0, len(text), room), room, min(overlap, room // 2))
         out = []
         for n, (a, b) in enumerate(parts):
             shared = overlap_start(ruler, a, overlap) if n else a

@@ -87,6 +87,47 @@ def test_cuts_at_the_highest_boundary_that_fits():
     assert all(t[new:].startswith("第") for _, new, _, _ in got) and len(got) == 3
 
 
+def part(name, sub, n):
+    return f"# Part {name}\n\nintroduction to this part\n\n" + "".join(f"### {name}{k}\n\n" + "the keeper shall inspect the ledger and report. " * n + "\n\n" for k in range(1, sub + 1))
+
+
+def test_parts_before_their_subsections():
+    t = part("A", 2, 50) + part("B", 3, 50) + part("C", 2, 50)
+    got = P.split_text(t, 2000, 100)
+    assert [t[new : new + 8] for _, new, _, _ in got] == ["# Part A", "# Part B", "# Part C"]
+
+
+def test_chapters_before_clauses_and_outer_before_inner_items():
+    body = "供货方应逐项补正原始行程单，并以最近一次为准。" * 12 + "\n"
+    t = "".join(f"第{c}章 总则\n" + "".join(f"第{k}条 付款\n{body}" for k in range(1, 4)) for c in "一二三")
+    size = len(encoding().encode_ordinary(t)) // 3
+    assert [t[new : new + 3] for _, new, _, _ in P.split_text(t, size * 5 // 4 + 40, 20)] == ["第一章", "第二章", "第三章"]
+    items = "".join(f"- item {k}\n" + "".join(f"    - detail {k}{j} " + "of the ledger " * 30 + "\n" for j in range(4)) for k in range(6))
+    assert all(items[new : new + 7] == "- item " for _, new, _, _ in P.split_text(items, 600, 20))
+
+
+def highest(text, marks, at):
+    return next((r for p, r in marks if p == at), 1000)
+
+
+def test_no_cut_has_a_higher_boundary_in_reach():
+    """Brute force: a node that fits whole is never cut unless crumbs were merged."""
+    r = random.Random(5)
+    for _ in range(40):
+        t = "".join(r.choice(["# ", "## ", "### "]) + f"h{k}\n\n" + "the keeper shall inspect. " * r.randrange(5, 60) + "\n\n" for k in range(12))
+        room, limit = 400, 440
+        ruler, marks = P.Ruler(t, None, 55), P.marks_of(t)
+        parts = P.pack(ruler, marks, 0, len(t), room)
+        assert [b for _, b in parts[:-1]] == [a for a, _ in parts[1:]] and all(ruler.size(a, b) <= room for a, b in parts)
+        heads = [(p, k) for p, k in marks if k <= 6]
+        for _, cut in parts[:-1]:
+            for i, (p, k) in enumerate(heads):
+                end = next((q for q, j in heads[i + 1 :] if j <= k), len(t))
+                if p < cut < end and ruler.size(p, end) <= room:
+                    crumbs = [x for x in parts if x[1] == cut or x[0] == cut]
+                    assert any(ruler.size(x, y) < room // 8 for x, y in zip(sorted({q for q, _ in heads}), sorted({q for q, _ in heads})[1:] + [len(t)])) or not crumbs
+
+
 def test_frame(spark):
     rows = [(1, "短文", "z"), (2, None, "z"), (3, "", "z"), (4, "长句子，" * 3000, "z"), (4, "长句子，" * 3000, "z"), (5, "a" * 3000, "z"), (6, "字" * 40_000, "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, piece_no string")
