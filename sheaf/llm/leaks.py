@@ -2,13 +2,14 @@
 
 Texts become token hashes (letters and digits in words, Han characters one by one; case, width, punctuation and layout
 ignored).  A spaced seed is a fixed mask that looks at some token positions of a window and ignores the others, so a
-changed character or word at an ignored position leaves the hash as it is.  Hashes of the passages and of all documents
+changed character or word at an ignored position leaves the hash as it is.  Passages under ``SHORT`` tokens have lighter,
+shorter seeds, and every document that shares one is verified.  Hashes of the passages and of all documents
 are joined; around hits the overlap is verified: on each diagonal a stretch is extended while few tokens differ,
 stretches on neighbouring diagonals (a token more or less) are chained, and the two longest must give at least
 ``share`` of the passage.
 
 The passages' hashes are shared with every task up to ``max_broadcast`` of them; beyond that documents' and passages'
-hashes meet in a shuffled join.  Edge cases: null and empty texts and passages shorter than a seed match nothing;
+hashes meet in a shuffled join, by the same rule.  Edge cases: null and empty texts and passages under 10 tokens match nothing;
 repeated documents are each reported; a document is read whole at any length; ties need no order; extra columns are ignored.
 """
 
@@ -25,6 +26,11 @@ from sheaf.sources.tables import materialise, spread, table
 
 # Spaced seeds: 1 looks at a token, 0 ignores it.  Weight 14 in spans of 20 to 21.
 SEEDS = ("11011101011101110111", "111010111011011010111", "110111011010110111011")
+#: Seeds of passages under SHORT tokens: weight 6 and 7 in spans of 8 to 10.
+LIGHT = ("11101110", "110110111", "1101001111")
+SHORT = 80
+#: Share of the wanted tokens that the hits of a longer passage must span at most to be verified.
+SPANNED = 0.75
 _LUT: dict = {}
 
 
@@ -88,61 +94,73 @@ def seed_hashes(x: np.ndarray, starts: np.ndarray, seeds: tuple[str, ...] = SEED
         yield k, at, h[at]
 
 
+def seeds_of(size: int) -> tuple[str, ...]:
+    return SEEDS if size >= SHORT else LIGHT
+
+
+def least_hits(size: int, share: float, slack: float) -> float:
+    """How many places of a passage must have a hit: those that could span enough of a longer one, one of a short one."""
+    return (share - slack) * size * SPANNED / (max(map(len, SEEDS)) + 12) if size >= SHORT else 1.0
+
+
 class SeedIndex:
-    """Sorted seed hashes of the passages, with a bitmap before them."""
+    """Sorted seed hashes of the passages by weight of their seeds, each with a bitmap before them."""
 
-    def __init__(self, items: list[tuple[int, str]], seeds: tuple[str, ...] = SEEDS):
+    def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.x, self.starts = tokens([t or "" for _, t in items])
-        self.seeds = seeds
-        hashes, where = [], []
-        for _, at, h in seed_hashes(self.x, self.starts, seeds):
-            hashes.append(h)
-            where.append(at)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        p = np.concatenate(where) if where else np.zeros(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.places = h[order], p[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.item = np.repeat(np.arange(len(items)), np.diff(self.starts))
+        self.sizes = np.diff(self.starts)
+        self.item = np.repeat(np.arange(len(items)), self.sizes)
+        self.parts = []
+        for seeds, mine in ((SEEDS, self.sizes >= SHORT), (LIGHT, self.sizes < SHORT)):
+            found = [(h[k], at[k]) for _, at, h in seed_hashes(self.x, self.starts, seeds) for k in (mine[self.item[at]],)] if mine.any() else []
+            h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+            if not len(h):
+                continue
+            p = np.concatenate([f[1] for f in found])
+            order = np.argsort(h, kind="stable")
+            shift = np.uint64(64 - min(22, max(10, int(len(h) * 16).bit_length())))
+            bits = np.zeros(1 << int(64 - shift), bool)
+            bits[(h >> shift).astype(np.int64)] = True
+            self.parts.append((seeds, h[order], p[order], bits, shift))
 
     def hits(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in x, position in the passages) of equal seed hashes."""
         xs, ps = [], []
-        for _, at, h in seed_hashes(x, starts, self.seeds):
-            maybe = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-            h, at = h[maybe], at[maybe]
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            n = hi - lo
-            keep = n > 0
-            lo, n, at = lo[keep], n[keep], at[keep]
-            total = int(n.sum())
-            flat = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total) if total else np.zeros(0, np.int64)
-            xs.append(np.repeat(at, n))
-            ps.append(self.places[flat])
+        for seeds, hashes, places, bits, shift in self.parts:
+            for _, at, h in seed_hashes(x, starts, seeds):
+                maybe = np.flatnonzero(bits[(h >> shift).astype(np.int64)])
+                h, at = h[maybe], at[maybe]
+                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                n = hi - lo
+                keep = n > 0
+                lo, n, at = lo[keep], n[keep], at[keep]
+                total = int(n.sum())
+                flat = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total) if total else np.zeros(0, np.int64)
+                xs.append(np.repeat(at, n))
+                ps.append(places[flat])
         return (np.concatenate(xs), np.concatenate(ps)) if xs else (np.zeros(0, np.int64),) * 2
 
 
-def stretches(p: np.ndarray, w: np.ndarray, diagonals: np.ndarray, penalty: int = 3, drop: int = 10) -> list[tuple[int, int, int]]:
+def stretches(p: np.ndarray, w: np.ndarray, diagonals: np.ndarray, penalty: int = 3, drop: int = 10, least: int = 8) -> list[tuple[int, int, int]]:
     """Best-scoring stretches (from, to in the passage, diagonal): +1 for an equal token, -``penalty`` for another."""
     out = []
     for d in diagonals.tolist():
         a, b = max(0, -d), min(len(p), len(w) - d)
-        if b - a < 8:
+        if b - a < least:
             continue
         gain = np.where(p[a:b] == w[a + d : b + d], 1, -penalty).tolist()
         score = best = start = end = 0
         for k, g in enumerate(gain):
             score += g
             if score <= 0 or score < best - drop:
-                if best >= 8:
+                if best >= least:
                     out.append((a + start, a + end, d))
                 score = best = 0
                 start = k + 1
             elif score > best:
                 best, end = score, k + 1
-        if best >= 8:
+        if best >= least:
             out.append((a + start, a + end, d))
     return sorted(out)
 
@@ -150,7 +168,8 @@ def stretches(p: np.ndarray, w: np.ndarray, diagonals: np.ndarray, penalty: int
 def gram_diagonals(p: np.ndarray, w: np.ndarray, n: int = 4) -> np.ndarray:
     """Diagonals on which passage and text share ``n`` tokens in a row.
 
-    With 4 none is missed that holds a stretch: 8 + 3 s equal tokens around s others leave more than 3 in a row."""
+    With 4 none is missed that holds a stretch: 8 + 3 s equal tokens around s others leave more than 3 in a row; with 3
+    none of a short passage's, 5 + 2 s around s."""
     if min(len(p), len(w)) < n:
         return np.zeros(0, np.int64)
     _, ids = np.unique(np.concatenate([p, w]), return_inverse=True)
@@ -204,12 +223,12 @@ def leaks_in(texts: list[str], index: SeedIndex, share: float, slack: float = 0.
     pair_s, place_s = pair[order], place[order]
     new = np.r_[True, (pair_s[1:] != pair_s[:-1]) | (place_s[1:] != place_s[:-1])]
     pair_u, place_u = pair_s[new], place_s[new]
-    span = max(map(len, index.seeds))
+    span = max(map(len, SEEDS))
     step = np.r_[np.minimum(np.where(pair_u[1:] == pair_u[:-1], place_u[1:] - place_u[:-1], span), span + 12), span + 12]
     ids, first = np.unique(pair_u, return_index=True)
     cover = np.add.reduceat(step, first)
-    size = np.diff(index.starts)[ids % len(index.ids)]
-    wanted = ids[cover >= (share - slack) * size * 0.75]
+    size = index.sizes[ids % len(index.ids)]
+    wanted = ids[(size < SHORT) | (cover >= (share - slack) * size * SPANNED)]
     out = []
     chosen = np.isin(pair, wanted)
     pairs, diagonals = pair[chosen], diagonal[chosen]
@@ -222,14 +241,18 @@ def leaks_in(texts: list[str], index: SeedIndex, share: float, slack: float = 0.
         p = index.x[index.starts[j] : index.starts[j + 1]]
         w, least = x[starts[i] : starts[i + 1]], (share - slack) * len(p)
         # Verified on the diagonals of families with 4 hits, then of all hits.  The longer of two stretches is at least
-        # half of what is wanted; where there is such a one, the other may be too short for the seeds.
+        # half of what is wanted; where there is such a one, the other may be too short for the seeds.  A short passage
+        # is looked for on all diagonals at once.
         family = np.cumsum(np.r_[True, np.diff(d) > 5]) - 1
         strong = np.bincount(family, n)[family] >= 4
-        reach = two_longest(stretches(p, w, d[strong]))
-        if reach < least and not strong.all():
-            reach = two_longest(stretches(p, w, d))
-        if least / 2 <= reach < least:
-            reach = two_longest(stretches(p, w, gram_diagonals(p, w)))
+        if len(p) < SHORT:
+            reach = two_longest(stretches(p, w, gram_diagonals(p, w, 3), 2, 6, 5))
+        else:
+            reach = two_longest(stretches(p, w, d[strong]))
+            if reach < least and not strong.all():
+                reach = two_longest(stretches(p, w, d))
+            if least / 2 <= reach < least:
+                reach = two_longest(stretches(p, w, gram_diagonals(p, w)))
         enough = reach >= least
         if enough:
             out.append((i, j))
@@ -265,27 +288,51 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, max_b
     return _joined(documents, items, share)
 
 
-def _joined(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
+def _joined(documents: DataFrame, items: DataFrame, share: float, slack: float = 0.02) -> DataFrame:
     """The same through a shuffled join of hashes; the verified pairs' texts are joined back by their keys."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = pdf.iloc[:, 0].to_numpy()
-            x, starts = tokens(pdf.iloc[:, 1].tolist())
-            for _, at, h in seed_hashes(x, starts):
-                yield pd.DataFrame({"key": keys[np.searchsorted(starts, at, "right") - 1], "h": h.view(np.int64)}).drop_duplicates()
+    def hashed(sized: bool):
+        """Each text's seed hashes with the number of places that have them; documents have those of both weights."""
 
-    clean = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    docs = clean.mapInPandas(hashed, "key bigint, h bigint").select(F.col("key").alias("doc_id"), "h")
-    tests = items.where("passage is not null").select("item_id", "passage").mapInPandas(hashed, "key bigint, h bigint").select(F.col("key").alias("item_id"), "h")
-    pairs = materialise(docs.join(tests, "h").groupBy("doc_id", "item_id").count().where("count >= 4").select("doc_id", "item_id"), "leak-pairs")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keys = pdf.iloc[:, 0].to_numpy()
+                x, starts = tokens(pdf.iloc[:, 1].tolist())
+                size = np.diff(starts)
+                for light, seeds in ((False, SEEDS), (True, LIGHT)):
+                    for _, at, h in seed_hashes(x, starts, seeds):
+                        row = np.searchsorted(starts, at, "right") - 1
+                        keep = (size[row] < SHORT) == light if sized else np.ones(len(row), bool)
+                        found = pd.DataFrame({"key": keys[row[keep]], "size": size[row[keep]], "h": h[keep].view(np.int64)})
+                        yield found.groupby(["key", "size", "h"], as_index=False).size().set_axis(["key", "size", "h", "places"], axis=1)
+
+        return run
+
+    ddl = "key bigint, size bigint, h bigint, places bigint"
+    clean = documents.where("text is not null and text <> ''").select("doc_id", "text").distinct()
+    docs = clean.mapInPandas(hashed(False), ddl).select(F.col("key").alias("doc_id"), "h")
+    tests = items.where("passage is not null").select("item_id", "passage").distinct().mapInPandas(hashed(True), ddl).select(F.col("key").alias("item_id"), "size", "h", "places")
+    # A hash of a common phrase may be in very many documents: it is split over the documents' side.
+    parts = 16
+    docs = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    tests = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    enough = F.when(F.col("size") < SHORT, 1.0).otherwise(F.col("size") * (least_hits(1000, share, slack) / 1000))
+    pairs = docs.join(tests, ["h", "salt"]).groupBy("doc_id", "item_id", "size").agg(F.sum("places").alias("n")).where(F.col("n") >= enough).select("doc_id", "item_id")
+    pairs = materialise(pairs, "leak-pairs")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for pdf in batches:
-            keep = [bool(leaks_in([t], SeedIndex([(i, p)]), share)) for t, i, p in zip(pdf["text"], pdf["item_id"], pdf["passage"])]
+            keep = []
+            for t, i, p in zip(pdf["text"], pdf["item_id"], pdf["passage"]):
+                if (i, p) not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[i, p] = SeedIndex([(i, p)])
+                keep.append(bool(leaks_in([t], known[i, p], share, slack)))
             yield pdf.loc[keep, ["doc_id", "item_id"]]
 
-    return pairs.join(clean, "doc_id").join(items.select("item_id", "passage"), "item_id").mapInPandas(verified, "doc_id bigint, item_id bigint").distinct()
+    return pairs.join(clean, "doc_id").join(items.select("item_id", "passage").distinct(), "item_id").mapInPandas(verified, "doc_id bigint, item_id bigint").distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,3 +84,40 @@ def test_seeds_find_changed_tokens():
     for k, at, h in L.seed_hashes(y, starts):
         if k == 0:
             assert dict(zip(at.tolist(), h.tolist()))[5] == mine[0][5]
+
+
+def given(r, size, share, changed, two):
+    """(passage, document that gives so much of it with changed tokens, one that gives too little)."""
+    words = [f"w{k}" for k in range(3000)]
+    noise = lambda n: [r.choice(words) for _ in range(n)]
+    p, n = noise(size), round(size * share)
+    a = r.randrange(0, size - n + 1)
+    parts = [p[: n // 2], p[n // 2 - n :]] if two else [p[a : a + n]]
+    for _ in range(changed):
+        part = r.choice(parts)
+        part[r.randrange(len(part))] = f"z{r.randrange(99)}"
+    return " ".join(p), " ".join(noise(80) + sum((x + noise(30) for x in parts), [])), " ".join(noise(50) + p[: round(size * 0.4)] + noise(50))
+
+
+GRID = ((30, 0.55, 0, 0), (30, 0.6, 1, 0), (40, 0.6, 1, 0), (40, 0.6, 2, 0), (40, 0.6, 1, 1), (50, 0.6, 2, 0), (60, 0.6, 3, 0), (80, 0.6, 3, 0), (200, 0.55, 5, 1))
+
+
+def test_short_passages_with_changed_tokens():
+    r = random.Random(4)
+    for cell in GRID:
+        found = 0
+        for _ in range(30):
+            passage, text, less = given(r, *cell)
+            index = L.SeedIndex([(1, passage)])
+            found += L.leaks_in([text], index, 0.5) == [(0, 0)]
+            assert not L.leaks_in([less], index, 0.5)
+        assert found >= 27, cell
+
+
+def test_both_ways_agree_on_passages_of_any_length(spark):
+    r = random.Random(6)
+    cases = [given(r, *cell) for cell in GRID for _ in range(3)] + [("too short a passage", "too short a passage", "x")]
+    items = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(t for c in cases for t in (c[1], c[2], c[1] + " " + c[2]))], "doc_id bigint, text string")
+    whole, joined = ({tuple(x) for x in L.find_leaks(docs, items, max_broadcast=limit).distinct().collect()} for limit in (4_000_000, 1))
+    assert whole == joined and len(whole) >= 2 * 25
