@@ -303,8 +303,8 @@ def _joined(documents: DataFrame, items: DataFrame, share: float, slack: float =
                     for _, at, h in seed_hashes(x, starts, seeds):
                         row = np.searchsorted(starts, at, "right") - 1
                         keep = (size[row] < SHORT) == light if sized else np.ones(len(row), bool)
-                        found = pd.DataFrame({"key": keys[row[keep]], "size": size[row[keep]], "h": h[keep].view(np.int64)})
-                        yield found.groupby(["key", "size", "h"], as_index=False).size().set_axis(["key", "size", "h", "places"], axis=1)
+                        found = pd.DataFrame({"key": keys[row[keep]], "tokens": size[row[keep]], "h": h[keep].view(np.int64)})
+                        yield found.groupby(["key", "tokens", "h"], as_index=False).size().set_axis(["key", "size", "h", "places"], axis=1)
 
         return run
 
