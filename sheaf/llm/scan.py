@@ -15,6 +15,7 @@ seed rules for page numbers mark as furniture.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -478,7 +479,8 @@ def furniture_lines(model: FurnitureModel, lines: list[str]) -> set[int]:
     return {i for i in page.open if model.is_furniture(page, i)}
 
 
-FAR = "0123456789^ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # what may stand two places off in a number or code
+#: Features that look two places off, without what stands there.
+FAR = re.compile(r"rpq.(...)|rp.(..)|pqs(...).|qs(..).|kk.(...).", re.S)
 TOKEN = re.compile("[A-Za-z0-9!]+")
 _BLANK = re.compile(r"\s+")
 
@@ -583,23 +585,24 @@ class Repairer:
         far = [f for f in feats if f[:2] in ("rp", "qs", "kk") or f.startswith("pqs")]
         score = self.editor.score([f for f in feats if f not in far])
         most: dict[str, float] = defaultdict(float)
-        for prefix, suffix in (("rp", f"{p}{c}"), ("rpq", f"{p}{c}{q}")):
-            self._add_most(most, [f"{prefix}{r}{suffix}" for r in FAR])
-        for prefix in (f"qs{c}{q}", f"pqs{p}{c}{q}"):
-            self._add_most(most, [prefix + r for r in FAR])
-        self._add_most(most, [f"kk{r}{kind(p)}{c}{kind(q)}{t}" for r in "9A^" for t in "9^"])
+        for group in (("rp", p + c), ("rpq", p + c + q), ("qs", c + q), ("pqs", p + c + q), ("kk", f"{kind(p)}{c}{kind(q)}")):
+            for o, x in self.far.get(group, {}).items():
+                most[o] += x
         return self.remember(key, all(score.get(o, 0.0) - score.get("K", 0.0) + most[o] <= 0 for o in self.operations))
 
-    def _add_most(self, most: dict[str, float], feats: list[str]) -> None:
-        """Add to each operation the most one of the features can favour it over keeping."""
-        best: dict[str, float] = {}
-        for f in feats:
-            row = self.editor.w.get(f)
-            if row:
-                for o in self.operations:
-                    best[o] = max(best.get(o, 0.0), row.get(o, 0.0) - row.get("K", 0.0))
-        for o, x in best.items():
-            most[o] += x
+    @cached_property
+    def far(self) -> dict[tuple[str, str], dict[str, float]]:
+        """For each group of features that differ in what stands two places off: the most one can favour an operation."""
+        out: dict[tuple[str, str], dict[str, float]] = {}
+        for f, row in self.editor.w.items():
+            m = FAR.fullmatch(f)
+            if not m:
+                continue
+            group = ("rpq", m[1]) if m[1] else ("rp", m[2]) if m[2] else ("pqs", m[3]) if m[3] else ("qs", m[4]) if m[4] else ("kk", m[5])
+            best = out.setdefault(group, {})
+            for o in self.operations:
+                best[o] = max(best.get(o, 0.0), row.get(o, 0.0) - row.get("K", 0.0))
+        return out
 
     def line_end(self, flow: str, i: int) -> tuple[str, bool]:
         """(operation, whether a word may be cut there) at the line break at place ``i``."""
@@ -675,15 +678,24 @@ def train_model(pages: DataFrame, train_pages: int = 600) -> dict:
     return learn([(r.raw_text, r.markdown) for r in rows])
 
 
+_OF_WORKER: dict[str, Repairer] = {}
+
+
+def worker_repairer(name: str, shared) -> Repairer:
+    """The repairer of a worker process, kept from task to task with what it has decided; only the last model's."""
+    if name not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[name] = Repairer(shared.value)
+    return _OF_WORKER[name]
+
+
 def _with_model(texts: DataFrame, model: dict, ddl: str, name: str, f) -> DataFrame:
     """``texts`` with a column made by ``f(repairer, text)``; one repairer in each worker."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded by train_pages
-    built: dict = {}
+    shared, mine = texts.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by train_pages
 
     def run(column: pd.Series) -> pd.Series:
-        if not built:
-            built["r"] = Repairer(shared.value)
-        return pd.Series([f(built["r"], t) for t in column])
+        repairer = worker_repairer(mine, shared)
+        return pd.Series([f(repairer, t) for t in column])
 
     return spread(texts).withColumn(name, F.pandas_udf(run, ddl).asNondeterministic()("text"))
 
