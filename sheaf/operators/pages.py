@@ -94,6 +94,24 @@ def find_pages(fragments: DataFrame, blocks: DataFrame, key: str, least: int = 8
     return found.groupBy(key, "frag_id").agg(F.min("_m").alias("_m")).select(key, "frag_id", F.col("_m.page").alias("page"))
 
 
+# An item of evidence names a page, then after a plus sign what stands there; items end at a semicolon.
+ITEM_END, PAGE_ITEM = "(?<=[；;])", "第\\s*[0-9]+\\s*页\\s*[+＋]\\s*"
+
+
+def correct_pages(evidence: DataFrame, blocks: DataFrame, key: str, id: str, text: str) -> DataFrame:
+    """``evidence`` (key, id, text) with each item's page replaced by the one its fragment stands on in the blocks.
+
+    Items are split, their fragments looked up by ``find_pages`` and joined again.  Items without a page mark, fragments
+    under 8 characters and fragments found nowhere stay as they are; a null text stays null."""
+    items = evidence.select(key, id, F.posexplode(F.split(text, ITEM_END)).alias("pos", "item"))
+    marked = items.withColumn("mark", F.regexp_extract("item", PAGE_ITEM, 0)).withColumn("lead", F.expr("substring_index(item, mark, 1)"))
+    marked = marked.withColumn("rest", F.when(F.col("mark") != "", F.substr("item", F.length("lead") + F.length("mark") + 1))).withColumn("frag_id", F.struct(id, "pos"))
+    found = find_pages(marked.where("rest is not null").select(key, "frag_id", F.regexp_replace("rest", "[；;]$", "").alias("fragment")), blocks, key)
+    both = marked.join(found, [key, "frag_id"], "left").withColumn("item", F.when(F.col("page").isNotNull(), F.concat("lead", F.lit("第"), F.col("page") + 1, F.lit("页 + "), "rest")).otherwise(F.col("item")))
+    done = both.groupBy(key, id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), "").alias("_done"))
+    return evidence.join(done, [key, id], "left").select(key, id, F.coalesce("_done", text).alias(text))
+
+
 def signature_pages(blocks: DataFrame, key: str, most: int = 4) -> DataFrame:
     """Up to ``most`` first pages with a word of the signature block, as an ordered array."""
     pages = blocks.where(ws_free("text").rlike(SIGNATURE_MARKERS)).groupBy(key).agg(F.array_sort(F.collect_set("page")).alias("p"))

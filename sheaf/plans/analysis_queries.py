@@ -143,7 +143,7 @@ def align_fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     types = table(spark, d, "archive_documents").select(F.col("id").alias("doc_id"), "status").distinct()
     scored = date_scores(spark, d).where("tp + fp + fn > 0").select("doc_id", E.fbeta("tp", "fp", "fn").alias("f")).join(types, "doc_id")
-    return E.bootstrap_by(scored, "status", "doc_id", "f")
+    return E.bootstrap_by(scored, "status", "f")
 
 
 RUNS = "runs as (select distinct doc_id, coalesce(nullif(model, ''), 'none') as model, duration_seconds from pipeline_outputs)"

@@ -44,19 +44,15 @@ _S = "regexp_replace(replace(replace(replace(amount_text, '人民币', ''), '圆
 
 @query(
     "norm_money_chinese",
-    f"""with recursive a as (select distinct id, {_S} as s from archive_documents where amount_text is not null and not regexp_matches(amount_text, '[0-9]')),
-    b as (select id, s, split_part(s, '元', 1) as w, case when contains(s, '元') then split_part(s, '元', 2) else '' end as tail from a),
-    walk as (select id, w, tail, 1 as i, 0::bigint as total, 0::bigint as section, 0 as digit, false as saw, false as bad from b
-      union all select id, w, tail, i + 1,
-        case when substr(w, i, 1) = '万' then total + (section + digit) * 10000 when substr(w, i, 1) = '亿' then total + (section + digit) * 100000000 else total end,
-        case when substr(w, i, 1) in ('万', '亿') then 0 when strpos('拾佰仟十百千', substr(w, i, 1)) > 0 then section + (case when digit = 0 then 1 else digit end) * (case when substr(w, i, 1) in ('拾', '十') then 10 when substr(w, i, 1) in ('佰', '百') then 100 else 1000 end) else section end,
-        case when strpos('零壹贰叁肆伍陆柒捌玖一二三四五六七八九两', substr(w, i, 1)) > 0 then list_extract([0,1,2,3,4,5,6,7,8,9,1,2,3,4,5,6,7,8,9,2], strpos('零壹贰叁肆伍陆柒捌玖一二三四五六七八九两', substr(w, i, 1))) else 0 end::int,
-        saw or strpos('零壹贰叁肆伍陆柒捌玖一二三四五六七八九两拾佰仟十百千万亿', substr(w, i, 1)) > 0,
-        bad or strpos('零壹贰叁肆伍陆柒捌玖一二三四五六七八九两拾佰仟十百千万亿 ', substr(w, i, 1)) = 0
-      from walk where i <= length(w)),
-    fin as (select id, total + section + digit + coalesce(nullif(strpos('壹贰叁肆伍陆柒捌玖', regexp_extract(tail, '(.)角', 1)), 0) * case when regexp_extract(tail, '(.)角', 1) = '' then 0 else 1 end, 0) * 0.1
-      + coalesce(nullif(strpos('壹贰叁肆伍陆柒捌玖', regexp_extract(tail, '(.)分', 1)), 0) * case when regexp_extract(tail, '(.)分', 1) = '' then 0 else 1 end, 0) * 0.01 as v, saw, bad from walk where i = length(w) + 1)
-    select id, case when not bad and saw and v > 0 then round(v, 2)::double end as yuan from fin""",
+    f"""with a as (select distinct id, translate({_S}, '零壹贰叁肆伍陆柒捌玖一二三四五六七八九两拾佰仟', '01234567891234567892十百千') as s from archive_documents where amount_text is not null and not regexp_matches(amount_text, '[0-9]')),
+    b as (select id, split_part(s, '元', 1) as w, case when contains(s, '元') then split_part(s, '元', 2) else '' end as tail from a),
+    c as (select id, w, coalesce(list_sum(list_transform(regexp_extract_all(replace(w, ' ', ''), '[^万亿]*[万亿]|[^万亿]+$'), lambda x: (case when x like '%万' then 10000 when x like '%亿' then 100000000 else 1 end) * (
+        coalesce(list_sum(list_transform(regexp_extract_all(x, '([0-9]?)十', 1), lambda y: 10 * greatest(coalesce(try_cast(y as bigint), 0), 1))), 0)
+        + coalesce(list_sum(list_transform(regexp_extract_all(x, '([0-9]?)百', 1), lambda y: 100 * greatest(coalesce(try_cast(y as bigint), 0), 1))), 0)
+        + coalesce(list_sum(list_transform(regexp_extract_all(x, '([0-9]?)千', 1), lambda y: 1000 * greatest(coalesce(try_cast(y as bigint), 0), 1))), 0)
+        + coalesce(try_cast(regexp_extract(x, '([0-9])[万亿]?$', 1) as bigint), 0)))), 0) as yuan,
+      coalesce(try_cast(regexp_extract(tail, '([0-9])角', 1) as int), 0) * 0.1 + coalesce(try_cast(regexp_extract(tail, '([0-9])分', 1) as int), 0) * 0.01 as part from b)
+    select id, case when regexp_full_match(w, '[0-9十百千万亿 ]*') and (regexp_matches(w, '[0-9十百千万亿]') or part > 0) and yuan + part > 0 then round(yuan + part, 2)::double end as yuan from c""",
 )
 def norm_money_chinese(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "archive_documents").where("amount_text is not null and not amount_text rlike '[0-9]'").select("id", N.money_chinese("amount_text").alias("yuan")).distinct()

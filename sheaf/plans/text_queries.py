@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.api import capabilities as catalogue
 from sheaf.functions import text as T
+from sheaf.operators.pages import correct_pages
 from sheaf.plans.page_queries import blocks
 from sheaf.plans.registry import query
 from sheaf.sources.tables import table
@@ -35,9 +36,8 @@ def highlight_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("correct_evidence_pages")
 def correct_evidence_pages(spark: SparkSession, d: str) -> DataFrame:
-    mine = blocks(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_pos", "page", "text"))).alias("b"))
     issues = table(spark, d, "completeness_issues").select("id", "doc_id", "evidence").distinct()
-    return issues.join(mine, "doc_id").select("id", T.correct_pages("evidence", F.transform("b", lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text")))).alias("evidence"))
+    return correct_pages(issues, blocks(spark, d), "doc_id", "id", "evidence").select("id", "evidence")
 
 
 @query("capabilities")
