@@ -36,14 +36,15 @@ def first_seen(identities: DataFrame) -> DataFrame:
     return rows.withColumn("conflict", N.canon_value("base") != F.col("cvalue"))
 
 
-def components(rows: DataFrame, rounds: int = 20) -> DataFrame:
+def components(rows: DataFrame) -> DataFrame:
     """(cname, component): names joined by shared strong values, by min-label steps with pointer jumping.
 
     Each round aggregates to one label a value and one a name, so a value held by very many names is one group's
-    minimum; the labels are written to the shared folder each round, which cuts the lineage."""
+    minimum; the labels are written to the shared folder each round, which cuts the lineage.  Labels only ever get smaller, so
+    the rounds end by themselves."""
     edges = materialise(rows.where("strong").select("cname", "cvalue").distinct(), "registry-edges")
     labels = materialise(rows.select("cname").distinct().withColumn("component", F.col("cname")), "registry-labels")
-    for _ in range(rounds):
+    while True:
         by_value = edges.join(labels, "cname").groupBy("cvalue").agg(F.min("component").alias("m"))
         near = edges.join(by_value, "cvalue").groupBy("cname").agg(F.min("m").alias("m"))
         stepped = labels.join(near, "cname", "left").select("cname", F.least("component", F.coalesce("m", "component")).alias("component"))
@@ -54,7 +55,6 @@ def components(rows: DataFrame, rounds: int = 20) -> DataFrame:
         labels = fresh
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:

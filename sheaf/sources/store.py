@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheaf.sources.tables import materialise
+
 CHILDREN = ("obligations", "document_seals", "document_subjects", "risk_clauses")
 
 
@@ -30,8 +32,8 @@ def with_ids(rows: DataFrame, high_water: int, *order: str) -> DataFrame:
     """Ids after the high-water mark in an order.
 
     Row numbers need no single task: partitions are ranged by the order, numbered within, and offset by a prefix sum of
-    their counts (one number a partition)."""
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    their counts (one number a partition).  The ranges are written once, so that counting and numbering see the same."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     w = Window.partitionBy("_part").orderBy(*order)
     numbered = ranged.withColumn("_n", F.row_number().over(w))
     sizes = numbered.groupBy("_part").agg(F.max("_n").alias("_size"))
@@ -112,28 +114,32 @@ class Store:
         out = self._fs.create(fresh)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        old = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(old, False)
-        self._fs.rename(fresh, old)
-
-    def insert(self, name: str, incoming: DataFrame, key: str = "sha256") -> int:
-        """Insert rows with new keys; the rows inserted."""
-        mark = self.state()["high_water"]
-        existing = self.table(name)
-        incoming = first_by(incoming, key, *sorted(c for c in incoming.columns if c != key)[:1])
-        fresh = with_ids(new_rows(existing, incoming, key) if existing is not None else incoming, mark, key)
-        whole = existing.unionByName(fresh.select(existing.columns)) if existing is not None else fresh
-        self.commit({name: whole})
-        now = self.table(name)
-        top, n = now.agg(F.max("id"), F.count("*")).head()
-        before = existing.count() if existing is not None else 0
-        self.commit({}, high_water=top or mark)
-        return n - before
+        self._replace(fresh, self._path(f"{self.root}/CURRENT"))
+
+    def _replace(self, fresh, old) -> None:
+        """Rename over the pointer: readers find the old one or the new one, never none."""
+        sc = self.spark.sparkContext
+        rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fresh, old, over)
+
+    def insert(self, name: str, incoming: DataFrame, key: str = "sha256", arrival: str = "ingested_at") -> int:
+        """Insert rows with new keys; the rows inserted.  Of rows of one key the first to arrive counts, where the column
+        ``arrival`` is there.  Rows and high-water mark are one commit."""
+        mark, existing = self.state()["high_water"], self.table(name)
+        order = [c for c in (arrival,) if c in incoming.columns] + [c for c in sorted(incoming.columns) if c not in (key, arrival)]
+        incoming = first_by(incoming, key, *order)
+        fresh = materialise(with_ids(new_rows(existing, incoming, key) if existing is not None else incoming, mark, key), "fresh")
+        n = fresh.count()
+        self.commit({name: existing.unionByName(fresh.select(existing.columns)) if existing is not None else fresh}, high_water=mark + n)
+        return n
 
     def delete(self, ids: DataFrame, parent: str = "documents") -> None:
         names = self.state()["tables"]
         self.commit(delete_cascade({n: self.table(n) for n in names}, ids, parent))
 
-    def compact(self, name: str, files: int = 1) -> None:
-        """Rewrite a table into fewer files."""
-        self.commit({name: self.table(name).coalesce(files)})
+    def compact(self, name: str, file_bytes: int = 256 << 20) -> None:
+        """Rewrite a table into files of about ``file_bytes``, each by a task of its own."""
+        size = self._fs.getContentSummary(self._path(f"{self.root}/{self.state()['tables'][name]}")).getLength()
+        self.commit({name: self.table(name).repartition(max(1, -(-size // file_bytes)))})

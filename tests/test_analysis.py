@@ -1,5 +1,7 @@
+import inspect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,22 +108,24 @@ def test_latency_nearest_rank(spark):
         assert r.n == n and r.p95 == v[min(n - 1, int(0.95 * n))] and r.p50 == pytest.approx((v[(n - 1) // 2] + v[n // 2]) / 2)
 
 
-def test_bootstrap():
-    assert E.bootstrap([]) == (1.0, 1.0, 1.0) and E.bootstrap([0.5]) == (0.5, 0.5, 0.5)
-    mean, low, high = E.bootstrap([0.0, 1.0, 1.0, 1.0])
-    assert mean == 0.75 and low <= mean <= high
-
-
-def test_bootstrap_by_draws_all_resamples_in_parts(spark):
+def test_bootstrap(spark):
     r = random.Random(7)
-    groups = {"one": [0.25], "two": [0.5, 1.0], "some": [r.random() for _ in range(33)], "many": [r.random() for _ in range(700)]}
-    for v in groups.values():
-        means = E.resampled(v, 0, 50) if len(v) > 1 else []
-        assert means == E.resampled(v, 0, 17) + E.resampled(v, 17, 50) if means else len(v) == 1
-    rows = [(k, i, x) for k, v in groups.items() for i, x in enumerate(v)]
+    groups = {"one": [0.25], "two": [0.5, 1.0], "some": [r.random() for _ in range(33)], "many": [float(r.random() < 0.7) for _ in range(4000)]}
+    rows = [(k, x) for k, v in groups.items() for x in v] + [("none", None)]
     r.shuffle(rows)
-    got = E.bootstrap_by(spark.createDataFrame(rows, "k string, o int, v double"), "k", "o", "v").collect()
-    assert {x.k: (x["mean"], x.low, x.high) for x in got} == {k: E.bootstrap(v) for k, v in groups.items()}
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: x for x in E.bootstrap_by(df, "k", "v").collect()}
+    assert set(got) == set(groups) and tuple(got["one"])[1:] == (0.25, 0.25, 0.25)
+    for k, v in groups.items():
+        mean, x = sum(v) / len(v), got[k]
+        assert x["mean"] == pytest.approx(mean) and x.low <= x["mean"] <= x.high
+    # The percentile interval of many values is that of the normal distribution.
+    v = groups["many"]
+    error = 1.96 * (sum((x - sum(v) / len(v)) ** 2 for x in v) / len(v) / len(v)) ** 0.5
+    assert got["many"].high - got["many"].low == pytest.approx(2 * error, rel=0.1)
+    assert {tuple(x) for x in E.bootstrap_by(df.repartition(5), "k", "v").collect()} == {tuple(x) for x in got.values()}
+    means = np.concatenate([E.resampled_means(np.array([0.0, 1.0]), np.array([30, 70]), 250, (0, p)) for p in range(8)])
+    assert len(means) == 2000 and abs(means.mean() - 0.7) < 0.01
 
 
 def test_bootstrap_ci_takes_two_thousand_resamples(spark):
@@ -136,7 +140,8 @@ def test_bootstrap_ci_takes_two_thousand_resamples(spark):
         if x.doc_id in types:
             values.setdefault(types[x.doc_id], []).append(x.f)
     got = {x.status: (x["mean"], x.low, x.high) for x in Q.bootstrap_ci(spark, d).collect()}
-    assert got == {s: E.bootstrap(v, 2000) for s, v in values.items()}
+    assert set(got) == set(values) and all(got[k][0] == pytest.approx(sum(v) / len(v)) for k, v in values.items())
+    assert inspect.signature(E.bootstrap_by).parameters["n"].default == 2000
     if {"ok", "partial"} <= set(values):
         assert [x.c_low for x in Q.gate_measures(spark, d).collect()] in ([got["ok"][1]], [got["partial"][1]])
 
@@ -199,3 +204,12 @@ def test_page_selection_takes_twenty_pages(spark, tmp_path):
     tables, scans = [i for i in range(1, 30, 2) if i != 7], [i for i in range(2, 30, 2)]
     want = [(0, 0)] + [(p, 1) for p in tables] + [(p, 2) for p in scans]
     assert got == [(1, n, *x) for n, x in enumerate(want[:20], 1)] + [(2, n, n - 1, min(n - 1, 1)) for n in range(1, 8)]
+
+
+def test_components_of_a_long_chain(spark):
+    """Names joined one by one settle, however long the chain."""
+    from sheaf.operators import registry as G
+
+    rows = [(f"n{k:03}", f"v{j:03}", True) for k in range(70) for j in (k, k + 1)] + [("alone", "w", True), ("weak", "v000", False)]
+    got = {r.cname: r.component for r in G.components(spark.createDataFrame(rows, "cname string, cvalue string, strong boolean")).collect()}
+    assert {got[f"n{k:03}"] for k in range(70)} == {"n000"} and got["alone"] == "alone" and got["weak"] == "weak"

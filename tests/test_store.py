@@ -64,3 +64,15 @@ def test_settings_and_catalogue(spark):
     got = {r.name: (r.value, r.source) for r in api.settings(spark, {"adaptive": " ", "max_partition_bytes": "7"}).collect()}
     assert got["max_partition_bytes"] == ("7", "given") and got["shuffle_partitions"] == ("4", "session")
     assert api.capabilities(spark).where("query = 'search_flagship' and has_sql").count() == 1
+
+
+def test_pointer_is_never_absent(spark, tmp_path):
+    store = S.Store(spark, str(tmp_path / "s"))
+    for k in range(3):
+        store.commit({"t": spark.range(k + 1)}, high_water=k)
+        assert store.table("t").count() == k + 1 and store.state()["high_water"] == k
+    assert [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("CURRENT")] == ["CURRENT"]
+    rows = spark.createDataFrame([("k", "a-late", "2025-02"), ("k", "z-first", "2025-01")], "sha256 string, about string, ingested_at string")
+    assert store.insert("docs", rows) == 1 and store.table("docs").head().about == "z-first"
+    store.compact("docs", 1)
+    assert store.table("docs").count() == 1
