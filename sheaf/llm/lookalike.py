@@ -25,18 +25,22 @@ from sheaf.sources.tables import materialise, table
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУҮХаеѕіјорсухһԁԛԝӏѵ", "ABESIJKMHOPCTYYXaesijopcyxhdqwlv"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"))
 OTHER = {**CYRILLIC, **GREEK}
+#: Armenian, Cherokee, small capitals, phonetic letters and numerals: Latin where the word has a Latin letter.
+EXOTIC = dict(zip("օսոաԱՕᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏤᎳᏃᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀᴛᴜᴠᴡʏᴢɑɡⅼⅽⅾⅿⅰⅴⅹⅠⅤⅩⅬⅭⅮⅯ", "ounwUOABCDEHJKLMPRSTVWZABCDEGHIJKLMNOPRTUVWYZaglcdmivxIVXLCDM"))
 LATIN = {v: k for k, v in reversed(CYRILLIC.items())}
 KEPT_WIDE = "（），：；！？"
 SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 INVISIBLE = "[\xad͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]"
 COMPATIBLE = "[⺀-⿟豈-﫿\U0002f800-\U0002fa1fﬀ-ﬆ\U0001d400-\U0001d7ffKÅΩ]"
 #: Any text with none of these is in its form already; the test runs in the JVM.
-SUSPECT = "[̀-ԯ" + SPACES + "！-＇＊＋－-９＜-＞＠-～]|" + INVISIBLE + "|" + COMPATIBLE
+SUSPECT = "[̀-ԯ" + "".join(EXOTIC) + SPACES + "！-＇＊＋－-９＜-＞＠-～]|" + INVISIBLE + "|" + COMPATIBLE
 WORD = re.compile("[A-Za-zÀ-ɏ̀-ԯ0-9]+")
 _SINGLE = {ord(c): " " for c in SPACES} | {0xFF01 + i: chr(0x21 + i) for i in range(94) if chr(0xFF01 + i) not in KEPT_WIDE}
 _INVISIBLE = re.compile(INVISIBLE)
 _MARKED = re.compile("[^\u0300-\u036f][\u0300-\u036f]+")
 _COMPATIBLE = re.compile(COMPATIBLE)
+_EXOTIC = re.compile("[" + "".join(EXOTIC) + "]")
+_MIXED = re.compile("[A-Za-zÀ-ɏ̀-ԯ0-9" + "".join(EXOTIC) + "]+")
 _FOREIGN = re.compile("[Ͱ-ԯ]")
 
 
@@ -49,6 +53,8 @@ def one_form(text: str) -> str:
     """The text with every character in its ordinary form."""
     text = _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), _INVISIBLE.sub("", text).translate(_SINGLE))
     text = composed(text)
+    if _EXOTIC.search(text):
+        text = _MIXED.sub(lambda m: "".join(EXOTIC.get(c, c) for c in m.group()) if re.search("[A-Za-z]", m.group()) else m.group(), text)
     if not _FOREIGN.search(text):
         return text
     words = WORD.findall(text)

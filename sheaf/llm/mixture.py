@@ -13,6 +13,8 @@ are documents of their own; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,14 +24,14 @@ from sheaf.llm.tokens import count_tokens
 from sheaf.sources.tables import materialise, spread, table
 
 
-def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+def flight(p: np.ndarray, x: np.ndarray, seed: tuple[int, ...] = (0,)) -> np.ndarray:
     """Flight phase: probabilities ``p`` with balancing variables ``x`` (n x q) to 0 or 1, at most q left fractional.
 
     Works on q + 1 units at a time: their constraints leave a null direction, along which the probabilities move, by
     chance one way or the other with the expectation kept, until one of them is 0 or 1 and the next unit takes its place."""
     p = p.astype(float).copy()
     q = x.shape[1]
-    random = np.random.default_rng(len(p))
+    random = np.random.default_rng((len(p), *seed))
     open_ = [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
     window, rest = open_[: q + 1], iter(open_[q + 1 :])
     while len(window) == q + 1:
@@ -89,7 +91,7 @@ def _flyer(last: bool):
         pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)  # small ones last: little is left to land
         p, size = pdf["p"].to_numpy(float), pdf["n_tokens"].to_numpy(float)
         x = np.column_stack([np.ones(len(pdf)), size / max(1.0, size.mean())])
-        done = flight(p, x)
+        done = flight(p, x, (zlib.crc32(str(pdf["source"].iloc[0]).encode()), int(pdf["block"].iloc[0])))  # blocks draw apart
         if last:
             done = land(done, size, float((p * size).sum()))
         return pdf.assign(p=np.asarray(done, float))[["doc_id", "source", "n_tokens", "p"]]
@@ -117,7 +119,7 @@ def mix(documents: DataFrame, weights: DataFrame, block: int = 2000) -> tuple[Da
     while counts:
         last = max(counts.values()) <= block
         blocks = open_.sparkSession.createDataFrame([(s, max(1, -(-n // block))) for s, n in counts.items()], "source string, blocks int")
-        blocked = open_.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(rounds)), F.col("blocks")))
+        blocked = open_.join(F.broadcast(blocks) if len(counts) <= 10_000 else blocks, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(rounds)), F.col("blocks")))
 
         flown = materialise(blocked.groupBy("source", "block").applyInPandas(_flyer(last), "doc_id bigint, source string, n_tokens bigint, p double"), "mix-flown")
         sure = flown.where("p > 1 - 1e-9").select("doc_id")

@@ -30,3 +30,8 @@ def test_classes(spark):
     got = {r.row_id: r.canonical for r in L.canonical_texts(df).collect()}
     assert got[1] == got[3] == got[4] == "Café A" and got[2] == "Cafe A" and got[5] == "" and got[6] == "长" * 50_000
     assert L.canonical_texts(df.limit(0)).count() == 0
+
+
+def test_letters_of_rare_scripts():
+    for text, form in (("Cօntract", "Contract"), ("ᎪBC", "ABC"), ("sᴍall", "sMall"), ("ⅼist", "list"), ("ɑlpha", "alpha"), ("第Ⅱ期", "第Ⅱ期"), ("հայոց", "հայոց")):
+        assert L.one_form(text) == form
