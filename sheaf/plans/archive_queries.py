@@ -159,10 +159,11 @@ def resolve_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     return A.resolve(documents(spark, d), "1F8A19").select("id", "sha256")
 
 
-@query("prefix_lookup", f"with {DOCS} select id, sha256 from docs where starts_with(sha256, 'ab') order by ingested_at desc nulls last, id limit 50")
+@query("prefix_lookup", f"with {DOCS} select id, sha256 from docs where starts_with(sha256, (select substr(min(sha256), 1, 4) from docs))")
 def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
-    # The two characters are those of the SQL; its limit of 50 is not the reference's and not taken over.
-    return A.by_prefix(documents(spark, d), "ab", least=2).select("id", "sha256")
+    """Every match of the first four characters of the smallest hash."""
+    prefix = documents(spark, d).agg(F.min("sha256")).head()[0]
+    return A.by_prefix(documents(spark, d), prefix[:4]).select("id", "sha256")
 
 
 @query("stats_status", f"with {DOCS} select status, count(*) as n from docs group by status")

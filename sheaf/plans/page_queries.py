@@ -204,12 +204,12 @@ def signature_pages(spark: SparkSession, d: str) -> DataFrame:
     "page_selection",
     f"""with {BLOCKS}, p as (select doc_id, block_pos as page, contains(t, '附件') as has_tables, case when length(t) < 60 then 'ocr' else 'text' end as mode from blk),
     r as (select doc_id, page, case when page = 0 then 0 when has_tables then 1 when mode = 'ocr' then 2 end as rank from p), n as (select *, row_number() over (partition by doc_id order by rank, page) as n from r where rank is not null)
-    select doc_id, page::int as page, rank, n::int as n from n where n <= 5""",
+    select doc_id, page::int as page, rank, n::int as n from n where n <= 20""",
 )
 def page_selection(spark: SparkSession, d: str) -> DataFrame:
     t = F.regexp_replace("text", r"(?U)\s+", "")
     pages = blocks(spark, d).select("doc_id", "page", t.contains("附件").alias("has_tables"), F.when(F.length(t) < 60, "ocr").otherwise("text").alias("mode"))
-    # At most 20 pages, the reference's cap; the SQL's 5 is not the reference's and not taken over.
+    # At most 20 pages, the operator's default.
     return P.select_pages(pages, "doc_id")
 
 
