@@ -5,7 +5,8 @@ traditional characters, usual abbreviations of a line of business) into keys; ke
 forms are equi-joined, and a rewriting is scored by its rarity, one over the number of entities its forms fit: a nickname
 is rewritten to every full name it may stand for, and links where only one of them is an entity of that surname.
 A misspelt key joins the better supported key that shares a one-edit form with it.  Groups are aggregated to one
-root per form, so no stage emits pairs before the last, whose pairs are the result.
+root per form, so no stage emits pairs before the last, whose pairs are the result.  Every join is a sort-merge join
+(`merged`), so the driver holds no part of a table at any size.
 
 Edge cases: null and blank names give no row; a name that nothing else resembles gives no pair; repeated rows count
 as support but give no further pairs; an empty table gives an empty result.
@@ -198,6 +199,12 @@ def edit_forms(kinds: pd.Series, mains: pd.Series) -> pd.Series:
     return pd.Series([one_edit_forms(k, m) for k, m in zip(kinds, mains)])
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` for a sort-merge join.  The planner takes exploded forms for as small as their keys, a tenth or less of what
+    they are, and would broadcast them through the driver."""
+    return df.hint("merge")
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """``names`` (name, n) to (name, entity): the entity of each spelling that has one.
 
@@ -218,14 +225,14 @@ def link_names(names: DataFrame) -> DataFrame:
     # more or less, or another letter, is common between names of their own: the root must have several times the support.
     other = F.when(is_self | F.col("form").contains("?"), F.col("every")).otherwise(F.col("spelt"))
     top = F.when(~F.col("form").startswith("~"), F.col("every")).when(other["support"] >= 3 * F.col("support"), other)
-    roots = forms.join(best, ["kind", "detail", "form"]).withColumn("top", top).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.min("extra").alias("extra"))
+    roots = forms.join(merged(best), ["kind", "detail", "form"]).withColumn("top", top).groupBy("kind", "main", "detail").agg(F.max("top").alias("top"), F.min("extra").alias("extra"))
     roots = roots.select("kind", "main", "detail", F.col("top.main").alias("root"), F.col("top.support").alias("support"), "extra")
     # A root may itself lead to a better one: follow once more, so that chains of two spellings end in one root.
     again = roots.select("kind", F.col("main").alias("root"), "detail", F.col("root").alias("root2"), F.col("support").alias("support2"))
-    roots = materialise(roots.join(again, ["kind", "root", "detail"]).select("kind", "main", "detail", F.col("root2").alias("root"), F.col("support2").alias("support"), "extra"), "roots")
+    roots = materialise(roots.join(merged(again), ["kind", "root", "detail"]).select("kind", "main", "detail", F.col("root2").alias("root"), F.col("support2").alias("support"), "extra"), "roots")
     # A name of one reading is its root's; one of several is scored by rarity: one over the entities that its readings fit.
     read = known.where("detail <> ''").select("name", "kind", "main", F.explode(F.split("detail", "[|]")).alias("detail"), F.col("detail").alias("readings"))
-    read = read.join(roots.drop("extra"), ["kind", "main", "detail"]).select("name", F.concat_ws("|", "kind", "root", "detail").alias("entity"), "support", F.concat_ws("|", "kind", "root", F.lit("?"), "readings").alias("own"))
+    read = read.join(merged(roots.drop("extra")), ["kind", "main", "detail"]).select("name", F.concat_ws("|", "kind", "root", "detail").alias("entity"), "support", F.concat_ws("|", "kind", "root", F.lit("?"), "readings").alias("own"))
     fits = F.when(F.col("support") > 0, F.col("entity"))
     complete = read.groupBy("name").agg(F.min(fits).alias("one"), F.max(fits).alias("other"), F.count(fits).alias("fit"), F.min("own").alias("own")).withColumn("rarity", F.when(F.col("fit") > 0, 1 / F.col("fit")))
     complete = complete.select("name", F.when((F.col("rarity") == 1) | (F.col("one") == F.col("other")), F.col("one")).otherwise(F.col("own")).alias("entity"))
@@ -238,10 +245,10 @@ def link_names(names: DataFrame) -> DataFrame:
     # A stem or surname that is nobody's as it stands is looked for by its one-edit forms.
     near = keys.select("kind", "extra", "main", "entity", "other", F.explode(edit_forms("kind", "main")).alias("form")).withColumn("spelt", is_self)
     near = near.groupBy("kind", "extra", "form", "spelt").agg(F.min("entity").alias("near"), F.max("other").alias("near_other"))
-    asked = part.join(keys, ["kind", "main", "extra"], "left").withColumn("own", F.concat_ws("|", "kind", "main", "extra"))
+    asked = part.join(merged(keys), ["kind", "main", "extra"], "left").withColumn("own", F.concat_ws("|", "kind", "main", "extra"))
     found = asked.where("entity is not null").where("entity = other").select("name", "entity")
     loose = asked.where("entity is null").select("name", "kind", "main", "extra", "own", F.explode(edit_forms("kind", "main")).alias("form")).withColumn("whole", is_self)
-    loose = loose.join(near, ["kind", "extra", "form"], "left").withColumns({c: F.when(~F.col("form").startswith("~") | F.col("spelt") | F.col("whole"), F.col(c)) for c in ("near", "near_other")}).groupBy("name", "own").agg(F.min("near").alias("near"), F.max("near_other").alias("near_other"))
+    loose = loose.join(merged(near), ["kind", "extra", "form"], "left").withColumns({c: F.when(~F.col("form").startswith("~") | F.col("spelt") | F.col("whole"), F.col(c)) for c in ("near", "near_other")}).groupBy("name", "own").agg(F.min("near").alias("near"), F.max("near_other").alias("near_other"))
     loose = loose.where("near is null or near = near_other").select("name", F.coalesce("near", "own").alias("entity"))
     incomplete = found.unionByName(loose)
     return complete.unionByName(incomplete)
@@ -260,11 +267,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different spellings of one entity, the smaller by code points first."""
     linked = materialise(link_names(spellings(spark, folder)), "linked")
     a, b = linked.select(F.col("name").alias("name_lo"), "entity"), linked.select(F.col("name").alias("name_hi"), "entity")
-    return a.join(b, "entity").where("name_lo < name_hi").select("name_lo", "name_hi").distinct()
+    return a.join(merged(b), "entity").where("name_lo < name_hi").select("name_lo", "name_hi").distinct()
 
 
 def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Each spelling with its entity and the number of spellings linked to it."""
     linked = materialise(link_names(spellings(spark, folder)), "linked")
     size = linked.groupBy("entity").agg(F.count("*").alias("n"))
-    return linked.join(size, "entity").select("name", "entity", (F.col("n") - 1).alias("links"))
+    return linked.join(merged(size), "entity").select("name", "entity", (F.col("n") - 1).alias("links"))

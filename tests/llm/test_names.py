@@ -74,3 +74,19 @@ def test_partitions_change_nothing(spark):
     df = spark.createDataFrame(counted, "name string, n long")
     whole = sorted(map(tuple, N.link_names(df.coalesce(1)).collect()))
     assert whole == sorted(map(tuple, N.link_names(df.repartition(7)).collect())) == sorted(map(tuple, N.link_names(df.orderBy(F.desc("name")).repartition(3, "n")).collect()))
+
+
+@pytest.mark.parametrize("query", [N.p3_found, N.p3_entities])
+def test_no_table_goes_through_the_driver(spark, tmp_path, query):
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {x.executionId(): x for x in map(found.apply, range(found.size()))}
+
+    names = [(f"{g} Haljor{s}hoe", f"Tobil{s}wen Trading") for g in ("Robert", "Bob", "R.") for s in ("dan", "dun", "nad", "kil")]
+    spark.createDataFrame(names, "party_a string, party_b string").write.parquet(str(tmp_path / "archive_documents.parquet"))
+    spark.createDataFrame([("Tobildanwen",), ("Tobilkilwen",)], "owner string").write.parquet(str(tmp_path / "document_seals.parquet"))
+    before = executions()
+    assert query(spark, str(tmp_path)).collect()
+    plans = [x.physicalPlanDescription() for k, x in executions().items() if k not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
